@@ -86,20 +86,23 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     return weights, float(b)
 
 
+def _scores(texts: list[str | None], model: tuple[np.ndarray, float] | None, bits: int) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    weights, b = model
+    who, bucket = _grams([t or "" for t in texts], weights, bits)
+    return 1 / (1 + np.exp(-np.clip(np.bincount(who, weights[bucket], len(texts)) + b, -50, 50)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, bits: int = BITS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                p = np.zeros(part.num_rows)
-                if fitted is not None:
-                    weights, b = fitted
-                    who, bucket = _grams([t or "" for t in part["text"].to_pylist()], weights, bits)
-                    p = 1 / (1 + np.exp(-np.clip(np.bincount(who, weights[bucket], part.num_rows) + b, -50, 50)))
+                p = _scores(part["text"].to_pylist(), shared.value, bits)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
@@ -110,20 +113,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are not predicted toxic. The verdict is joined per row of text."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    names = docs.columns
+def keep_clean(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bits))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                if fitted is not None:
-                    weights, b = fitted
-                    who, bucket = _grams([t or "" for t in part["text"].to_pylist()], weights, BITS)
-                    part = part.filter(pa.array(np.bincount(who, weights[bucket], part.num_rows) + b < 0))
-                yield part
+                yield part.filter(pa.array(_scores(part["text"].to_pylist(), shared.value, bits) < 0.5))
 
-    return docs.select(*names).mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(clean, docs.schema)
