@@ -4,8 +4,8 @@ A document's set holds its distinct 4-word shingles as 64-bit hashes. Documents
 sets are folded into one. Similar documents are put into groups of about GROUP members; the
 matrix says which groups have which tokens. Where it is spread over tasks only the tokens
 are kept that a match needs: under one order of all tokens, two sets with a Jaccard
-similarity of 0.85 share one of their first n - ceil(0.85 n) + 1 tokens. Pairs of groups
-that share such a token are opened: every member is first held against the other group's
+similarity of 0.85 share m of their first n - ceil(0.85 n) + m tokens. Pairs of groups
+that share m such tokens are opened: every member is first held against the other group's
 token union, since no member of the group can overlap it in more; only members that can
 still reach the threshold are compared, exactly.
 
@@ -17,13 +17,14 @@ and a large set of near copies is split into groups of bounded size.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; equal texts link;
 a null doc_id links with nothing and has a null component; rows that repeat a doc_id are
-documents of their own, each with the class of its set; an empty table gives no rows; other
-columns are ignored.
+documents of their own, each with the class of its set, and share a class where the id is
+the smallest of both sets; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,18 @@ from hirelens.llm.common import stored
 from hirelens.llm.components import components
 
 SHINGLE, PERCENT, GROUP, CELL_BITS, BLOCK_BITS = 4, 85, 64, 20, 12
+#: A set of n tokens has n // SHARED_PART tokens more in its prefix, and must share as many more.
+SHARED_PART = 20
+#: Ids of documents whose groups are opened are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _KEPT = 500_000
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if its size allows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > _KEPT:
@@ -68,8 +78,17 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
+def _signature(tokens: bytes) -> bytes:
+    return hashlib.blake2b(tokens, digest_size=16).digest()
+
+
+def least_shared(n: int) -> int:
+    """Prefix tokens that a set of n tokens shares with every set that it links with of at least this many."""
+    return 1 + n // SHARED_PART
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + least_shared(n))
 
 
 def common_cells(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
@@ -83,13 +102,13 @@ def common_cells(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
                 cells += np.bincount((np.concatenate(parts) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)).astype(np.int32)
         blocks = cells.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([blocks[k].tobytes() for k in used.tolist()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in used.tolist()], pa.binary())], ["block", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
     schema = "block long, counts binary"
@@ -116,7 +135,7 @@ def document_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
                     late = common[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     order = np.concatenate([h[~late], h[late]])
                     n.append(len(h))
-                    signature.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                    signature.append(_signature(h.tobytes()))
                     prefix.append(order[: prefix_length(len(h), percent)].view(np.int64) if len(h) else np.empty(0, np.int64))
                 ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))], ["doc_id", "n_shingles", "signature", "prefix"])
@@ -158,6 +177,23 @@ def _links(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_
     return [(int(ids_a[left[x]]), int(ids_b[right[y]])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
 
 
+def _record(ids: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A group as its ids, its token union, and a row of bits over the union for each member."""
+    union = np.unique(np.concatenate(sets))
+    bits = np.zeros((len(sets), len(union)), bool)
+    for k, s in enumerate(sets):
+        bits[k, np.searchsorted(union, s)] = True
+    return zlib.compress(np.array([len(sets), len(union)], np.int64).tobytes() + ids.astype(np.int64).tobytes() + union.tobytes() + np.packbits(bits, axis=1).tobytes(), 1)
+
+
+def _members(record: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = zlib.decompress(record)
+    n, width = np.frombuffer(raw, np.int64, 2).tolist()
+    ids, union = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.uint64, width, 16 + 8 * n)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=16 + 8 * (n + width)).reshape(n, -1), axis=1, count=width).view(bool)
+    return ids, [union[row] for row in bits]
+
+
 def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A forest with the same components as the links."""
     root: dict[int, int] = {}
@@ -180,48 +216,72 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def similar_pairs(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """(a, b): links between documents with different sets, enough of them to connect what is linked."""
     reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    own = sets.join(reps, (sets["signature"] == reps["signature"]) & (sets["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["signature"])
-    every = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    reps = stored(reps)
+    own = sets.join(reps, (sets["signature"] == reps["signature"]) & (sets["doc_id"] == reps["rep"]), "left_semi")
+    every = own.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
     counts = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    posts = stored(every.join(counts, "token"))
+    sizes = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"))
+    posts = stored(every.join(counts, "token").join(sizes, "rep"))
 
     # groups: by the commonest shared token, split by a hash where it has many documents
     keys = posts.groupBy("rep").agg(F.max(F.struct("c", "token")).alias("k")).select("rep", F.col("k.token").alias("key"))
     sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / group).alias("parts"))
     groups = stored(keys.join(sizes, "key").select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), "parts")).alias("gid")))
+    placed = stored(posts.join(groups, "rep").select("rep", "n", "token", "gid"))
 
-    matrix = stored(posts.join(groups, "rep").groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    # the matrix; groups, and members within their group, that share too few tokens for any link are not opened
+    matrix = stored(placed.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k")))
+    enough = lambda n: 1 + F.floor(n / SHARED_PART)  # noqa: E731  see least_shared
     a, b = matrix.alias("a"), matrix.alias("b")
     sized = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-    pairs = a.join(b, "token").where((F.col("a.gid") < F.col("b.gid")) & sized).select(F.col("a.gid").alias("g"), F.col("b.gid").alias("h")).distinct()
-    alone = groups.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    met = a.join(b, "token").where((F.col("a.gid") < F.col("b.gid")) & sized).groupBy(F.col("a.gid").alias("g"), F.col("b.gid").alias("h"))
+    pairs = stored(met.agg(F.count("*").alias("shared"), F.min(F.least("a.low", "b.low")).alias("low")).where(F.col("shared") >= enough(F.col("low"))).select("g", "h"))
+    own_token = matrix.where("k > 1").select("token", "gid")
+    far_token = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    counted = lambda rows: rows.groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n") * percent / 100)).select("rep", "gid")
+    inside = counted(placed.join(own_token, ["token", "gid"])).withColumns({"inside": F.lit(True), "across": F.lit(False)})
+    across = counted(placed.join(far_token, "token")).join(pairs.select(F.explode(F.array("g", "h")).alias("gid")).distinct(), "gid", "left_semi").select("rep", "gid", F.lit(False).alias("inside"), F.lit(True).alias("across"))
+    needed = inside.unionByName(across).groupBy("rep", "gid").agg(F.max("inside").alias("inside"), F.max("across").alias("across"))
+    needed = stored(needed.join(reps, "rep"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                yield pa.RecordBatch.from_arrays([part["gid"], part["rep"], pa.array([shingles(t, size).tobytes() for t in part["text"].to_pylist()], pa.binary())], ["gid", "rep", "tokens"])
+                sets = [shingles(t, size).tobytes() for t in part["text"].to_pylist()]
+                own = [_signature(x) == y for x, y in zip(sets, part["signature"].to_pylist(), strict=True)]  # rows may repeat a doc_id
+                yield pa.RecordBatch.from_arrays([part["gid"], part["rep"], part["inside"], part["across"], pa.array(sets, pa.binary())], ["gid", "rep", "inside", "across", "tokens"]).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups, "rep")
-    members = texts.select("gid", "rep", "text").mapInArrow(tokens, "gid long, rep long, tokens binary")
-    records = stored(members.groupBy("gid").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))  # about `group` members
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(bounded(needed), "rep")
+    members = texts.select("gid", "rep", "inside", "across", "signature", "text").mapInArrow(tokens, "gid long, rep long, inside boolean, across boolean, tokens binary")
+    grouped = members.groupBy("gid").agg(F.collect_list(F.struct("rep", "inside", "across", "tokens")).alias("members"))  # about `group` members
 
-    def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within each group; and the record of a group that meets others."""
         for batch in batches:
-            links: list[tuple[int, int]] = []
             for k in range(batch.num_rows):
-                sides = []
-                for name in ("left", "right"):
-                    rows = batch[name][k].as_py() or []
-                    sides.append((np.array([r["rep"] for r in rows]), [np.frombuffer(r["tokens"], np.uint64) for r in rows]))
-                links += _spanning(_links(*sides[0], *sides[1], percent))
+                rows = batch["members"][k].as_py()
+                side = lambda kind: (np.array([r["rep"] for r in rows if r[kind]], np.int64), [np.frombuffer(r["tokens"], np.uint64) for r in rows if r[kind]])  # noqa: B023, E731
+                ids, own = side("inside")
+                links = _spanning(_links(ids, own, ids, own, percent)) if len(own) > 1 else []
+                ids, own = side("across")
+                n, record = len(links), [_record(ids, own)] if own else []
+                gid = [None] * n + [batch["gid"][k].as_py()] * len(record)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links] + [None] * len(record), pa.int64()), pa.array([y for _, y in links] + [None] * len(record), pa.int64()), pa.array(gid, pa.int64()), pa.array([None] * n + record, pa.binary())], ["a", "b", "gid", "record"])
+
+    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for left, right in zip(batch["left"], batch["right"], strict=True):
+                links += _spanning(_links(*_members(left.as_py()), *_members(right.as_py()), percent))
             links = _spanning(links)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    left = records.select(F.col("gid").alias("g"), F.col("members").alias("left"))
-    right = records.select(F.col("gid").alias("h"), F.col("members").alias("right"))
-    opened = pairs.unionByName(alone).join(left, "g").join(right, "h").select("left", "right")
-    return stored(opened.mapInArrow(open_groups, "a long, b long"))
+    opened = stored(grouped.mapInArrow(open_own, "a long, b long, gid long, record binary"))
+    records = opened.where("gid is not null")
+    left, right = records.select(F.col("gid").alias("g"), F.col("record").alias("left")), records.select(F.col("gid").alias("h"), F.col("record").alias("right"))
+    met = pairs.join(left, "g").join(right, "h").select("left", "right").mapInArrow(open_pairs, "a long, b long")
+    return stored(opened.where("gid is null").select("a", "b").unionByName(met))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
