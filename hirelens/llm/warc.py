@@ -47,9 +47,10 @@ def write_archive(pages: DataFrame, least: int = LEAST) -> Archive:
         F.lit("Content-Length: "), F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"), end, end,
     )
     headers = stored(typed.select("page_id", "url", header.alias("header"), "address", "payload_digest", "payload_bytes", kind.alias("record_type"), target.alias("refers_to")))
-    # one row of each address carries its bytes: the keeper's, or any if no id is known
-    first = rows.withColumn("address", F.sha2("payload", 256)).join(keepers.select(F.col("address").alias("a"), "keeper"), (F.col("address") == F.col("a")) & F.col("page_id").eqNullSafe(F.col("keeper")), "left_semi")
-    payloads = stored(first.select("address", "payload").dropDuplicates(["address"]))
+    # one row of each address carries its bytes: the keeper's, or any if no id is known; the join's partitioning serves the dedup
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63))).alias("key")
+    first = rows.select(F.sha2("payload", 256).alias("address"), key("page_id"), "payload").join(keepers.select("address", key("keeper")), ["address", "key"], "left_semi")
+    payloads = stored(first.dropDuplicates(["address", "key"]).select("address", "payload"))
     return Archive(headers, payloads)
 
 
@@ -67,7 +68,15 @@ def record_bytes(records: DataFrame) -> DataFrame:
     return records.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
+def read_digests(archive: Archive) -> DataFrame:
+    """Every record without its payload: what read_archive checks is measured on each stored payload once, and only that is joined."""
+    measured = archive.payloads.select(F.col("address").alias("stored"), (F.sha2("payload", 256) == F.col("address")).alias("whole"), F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
+    joined = archive.headers.join(measured, F.col("address") == F.col("stored"), "left")
+    good = F.col("whole") & (F.col("digest") == F.col("payload_digest")) & (F.col("bytes") == F.col("payload_bytes"))
+    digest = F.when(F.coalesce(good, F.lit(False)), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("string"))
+    return joined.select("page_id", F.col("bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def archived_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back."""
-    records = read_archive(write_archive(pages, least))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+    return read_digests(write_archive(pages, least))

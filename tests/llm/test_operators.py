@@ -238,6 +238,8 @@ def test_warc(spark, none):
     damaged = warc.Archive(archive.headers, archive.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_archive(damaged).collect()
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read_digests(damaged).collect()
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
