@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import BLANKS, stored, words_of
+from hirelens.llm.common import BLANKS, stored
 
 COMMON, LANGUAGES, WINDOW = 32, 512, 8
 LEAST_WORDS, MOST_DISTANCE = 50, 0.34
@@ -47,9 +47,9 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text_key, words, the base counts and the class counts."""
+    """doc_id, lang, text_key, the base counts and the class counts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words_of("text").alias("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), F.array_remove(F.split(text, BLANKS), "").alias("words"))
     rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("hashes")
     rows = rows.withColumn("windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
@@ -59,11 +59,11 @@ def base_rules(docs: DataFrame) -> DataFrame:
     word_chars = F.length(F.regexp_replace(text, BLANKS, "")).cast("long")
     symbols = (n_chars - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
     return rows.select(
-        "doc_id", "lang", F.xxhash64(text).alias("text_key"), "words",
+        "doc_id", "lang", F.xxhash64(text).alias("text_key"),
         F.size("words").cast("long").alias("n_words"), word_chars.alias("word_chars"), symbols.alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("windows")).alias("n_repeat_words"),
-        F.array(_gone(text, r"\p{Lu}"), _gone(text, "[0-9]"), _gone(text, r"[\p{P}&&[^#*$%&]]"), symbols, n_chars - word_chars, n_chars).alias("classes"),
+        F.array(_gone(text, "[A-ZÀ-ÖØ-Þ]+"), _gone(text, "[0-9]+"), _gone(text, r"[.,;:!?'\"()\-]+"), symbols, n_chars - word_chars, n_chars).alias("classes"),
     )
 
 
@@ -81,10 +81,17 @@ def _divergence(p: Column, q: Column) -> Column:
     return (half(p) + half(q)) / 2
 
 
-def references(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+def spread_words(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text_key, word of every word."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("text_key"), F.explode(F.split(text, BLANKS)).alias("word"))
+    return rows.where("word <> ''")
+
+
+def references(docs: DataFrame, rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
     """(lang, word, q) of the most common words with a marker row a language, and (lang, shares); at most LANGUAGES of them."""
     known = rows.where(F.col("lang").isNotNull())
-    counts = known.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = spread_words(docs).where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))]
     total = stored(known.groupBy("lang").agg(F.sum("n_words").alias("all"), *sums))
@@ -97,12 +104,16 @@ def references(rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFr
 
 def judge(docs: DataFrame, common: int = COMMON, least_words: int = LEAST_WORDS, most: float = MOST_DISTANCE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, distance."""
-    rows = base_rules(docs)
-    words, shares = references(rows, common)
+    rows = stored(base_rules(docs))
+    words, shares = references(docs, rows, common)
     words = F.broadcast(words)  # at most LANGUAGES * (common + 1) rows
     # counts of common words by document; the empty word, once a row, counts the row's copies
-    spread = rows.select("doc_id", "text_key", "n_words", F.explode(F.concat("words", F.array(F.lit("")))).alias("word"))
-    found = spread.join(F.broadcast(words.select("word").distinct()), "word", "left_semi").groupBy("doc_id", "text_key", "word").agg(F.count("*").alias("n"), F.max("n_words").alias("of"))
+    spread = spread_words(docs).select("doc_id", "text_key", "word").join(words.select("word").distinct(), "word", "left_semi")
+    counts = spread.groupBy("doc_id", "text_key", "word").agg(F.count("*").alias("n"))
+    copies = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("n_words").alias("of"))
+    sizes = copies.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "of")
+    counts = counts.unionByName(copies.select("doc_id", "text_key", F.lit("").alias("word"), "n"))
+    found = counts.join(sizes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).drop("d", "t")
     by_lang = found.join(words, "word").groupBy("doc_id", "text_key", "lang", "of").agg(
         F.max(F.when(F.col("word") == "", F.col("n"))).alias("copies"),
         F.collect_list(F.when(F.col("word") != "", F.struct("n", "q"))).alias("bins"),
@@ -118,7 +129,7 @@ def judge(docs: DataFrame, common: int = COMMON, least_words: int = LEAST_WORDS,
     own = _shares(F.col("classes"))
     class_part = lambda e: let(own, lambda s: sum((_divergence(F.get(s, F.lit(k)), F.get(e["shares"], F.lit(k))) for k in range(1, len(CLASSES))), _divergence(F.get(s, F.lit(0)), F.get(e["shares"], F.lit(0)))))
     least = F.array_min(F.transform("near", lambda e: F.struct(((root(e["word_part"]) + root(class_part(e))) / 2).alias("distance"), e["lang"].alias("lang"))))
-    joined = rows.drop("words").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").withColumn("least", least)
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").withColumn("least", least)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fits = (F.col("n_words") < least_words) | F.coalesce(F.col("least.distance") <= most, F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fits).alias("kept"), F.col("least.lang").alias("nearest"), F.round("least.distance", 6).alias("distance"))
