@@ -62,14 +62,15 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     y = np.array(rows["toxic"], np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    ids = [np.frombuffer(x, np.int32) for x in rows["ids"].to_pylist()]
+    ids = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["ids"]]  # views of the table, a row at a time below
+    counts_of = np.zeros((2, 1 << bits), np.int32)
+    for label, own in zip(y.astype(int).tolist(), ids, strict=True):
+        counts_of[label, own] += 1
+    ratio = (np.log((counts_of[1] + 1) / (y.sum() + 2)) - np.log((counts_of[0] + 1) / ((1 - y).sum() + 2))).astype(np.float32)
+    ratio[(counts_of.sum(axis=0) < SUPPORT) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    ids = [own[ratio[own] != 0] for own in ids]
     row, bucket = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
-    toxic = np.bincount(bucket[y[row] == 1], minlength=1 << bits)
-    other = np.bincount(bucket[y[row] == 0], minlength=1 << bits)
-    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((other + 1) / ((1 - y).sum() + 2))
-    ratio[(toxic + other < SUPPORT) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = ratio[bucket] != 0
-    row, bucket = row[keep], bucket[keep]
+    del rows, ids, counts_of
     used, column = np.unique(bucket, return_inverse=True)
     value = ratio[used][column]
     w, b = np.zeros(len(used)), 0.0
