@@ -533,3 +533,141 @@ def f20_custom_family(spark, d):
     c = A.read(spark, d, "customer").select((F.col("c_custkey") % 100).alias("bucket"), F.concat(F.lit(" AI & Platform #"), (F.col("c_custkey") % 100).cast("string")).alias("name"))
     rows = c.select("bucket", roles.custom_family_id("name").alias("id")).where(roles.custom_family_label("id") == F.concat(F.lit("AI Platform "), "bucket"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+# upserts: the batch is a posting for each listing of an even order, under the listing's identity
+
+
+def _batch(spark, d):
+    rows = A.listings(spark, d).where("job_id % 2 = 0")
+    names = A.companies(spark, d).select(F.col("id").alias("c"), F.col("name").alias("company_name"))
+    owners = A.jobs(spark, d).select(F.col("id").alias("job_id"), F.coalesce("company_id", F.lit(1)).alias("c"), F.col("canonical_url").alias("url"))
+    out = rows.join(owners, "job_id").join(names, "c")
+    return out.select(
+        F.lit("run").alias("run_id"), F.col("id").alias("batch_pos"), "source", "source_job_id", "company_name", F.col("source_title").alias("title"), F.col("url").alias("canonical_url"), "source_url", "location", "workplace_type", "description_text",
+        "salary_min", "salary_max", "salary_currency", "salary_interval", "content_hash", "raw_payload", "text_quality", "source_updated_at", F.lit("data").alias("ingest_query"), F.lit(None).cast("string").alias("ingest_role_family_id"), F.lit("Technology").alias("industry"), "job_id",
+    )
+
+
+_BATCH = ", batch as (select l.*, coalesce(j.company_id, 1) cid from listings l join jobs j on j.id = l.job_id where l.job_id % 2 = 0)"
+
+
+@query(_BATCH + " select name, case when id in (select cid from batch) then 'Technology' when id % 3 = 0 then industry end industry from companies where id % 3 = 0 or id in (select cid from batch)")
+def i2_upsert_companies(spark, d):
+    """A third of the companies is known beforehand."""
+    return ingest.upsert_companies(A.companies(spark, d).where("id % 3 = 0"), _batch(spark, d)).select("name", "industry")
+
+
+@query("select 'https://example.test/jobs/' || id canonical_url, lower(title) normalized_title, strftime(case when id % 2 = 0 and id in (select job_id from listings) then timestamp '2001-08-01' else last_seen_at end, '%Y-%m-%d') last_seen, closed_at is null or (id % 2 = 0 and id in (select job_id from listings)) as is_open from jobs where id % 3 = 0 or (id % 2 = 0 and id in (select job_id from listings))".replace("else last_seen_at", "else last_seen_at"))
+def i3_upsert_jobs(spark, d):
+    """A third of the jobs is known beforehand; a job of the batch is seen now and open."""
+    old = A.jobs(spark, d).where("id % 3 = 0").withColumn("job_key", F.concat(F.lit("url:"), "canonical_url"))
+    companies = A.companies(spark, d)
+    out = ingest.upsert_jobs(old, _batch(spark, d), companies, AS_OF)
+    return out.select("canonical_url", "normalized_title", day("last_seen_at").alias("last_seen"), F.col("closed_at").isNull().alias("is_open"))
+
+
+@query(_BATCH + " select id, source, strftime(case when id % 10 in (1, 2) then first_seen_at else timestamp '2001-08-01' end, '%Y-%m-%d') first_seen, strftime(case when job_id % 2 = 0 then timestamp '2001-08-01' else last_seen_at end, '%Y-%m-%d') last_seen, salary_min from listings where id % 10 in (1, 2) or job_id % 2 = 0")
+def i4_upsert_listings(spark, d):
+    """First and second listings of a job are known beforehand."""
+    old = A.listings(spark, d).where("id % 10 in (1, 2)").withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.lit(None).cast("string"))
+    out = ingest.upsert_listings(old, _batch(spark, d), AS_OF)
+    return out.select(F.col("source_job_id").cast("long").alias("id"), "source", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), "salary_min")
+
+
+@query("select id, (closed_at is null or (id % 2 = 0 and id in (select job_id from listings))) as is_open from jobs")
+def i5_reopen_jobs(spark, d):
+    t = A.tables(spark, d)
+    return ingest.reopen_jobs(t.jobs, t.listings, _batch(spark, d)).select("id", F.col("closed_at").isNull().alias("is_open"))
+
+
+@query(_BATCH + " select source, count(*) observations, count(distinct id) listings from batch group by 1")
+def i6_observations(spark, d):
+    rows = ingest.observations_of(_batch(spark, d), AS_OF).select("source_listing_id")
+    names = A.listings(spark, d).select(F.xxhash64("source", "source_job_id").alias("source_listing_id"), "source")
+    return rows.join(names, "source_listing_id").groupBy("source").agg(F.count("*").alias("observations"), F.count_distinct("source_listing_id").alias("listings"))
+
+
+@query(_BATCH + " select 'run' run_id, 2 targets_seen, 1 targets_failed, 'completed_with_errors' status, 'no answer' error_message, (select count(*) from batch) listings, (select count(distinct job_id) from batch) jobs")
+def i16_ingestion_summary(spark, d):
+    targets = spark.createDataFrame([("run", "adzuna", "data", None), ("run", "lever", None, "no answer")], "run_id string, source string, ingest_query string, error string")
+    none = spark.createDataFrame([], "x int")
+    out = ingest.ingestion_summary(targets, _batch(spark, d), none, none)
+    return out.select("run_id", F.col("targets_seen").cast("int").alias("targets_seen"), F.col("targets_failed").cast("int").alias("targets_failed"), "status", "error_message", "listings", "jobs")
+
+
+@query("select lower(n) normalized_name, t source_taxonomy, max(c) category from (select p_type n, 'parts' t, p_brand c from part union all select 'skill_' || (l_partkey % 40), 'local', 'group_' || (l_partkey % 40 % 4) from lineitem) group by 1, 2", model=False)
+def i12_upsert_skills(spark, d):
+    """Part types as a taxonomy beside the local skills; the greatest brand comes last."""
+    records = A.read(spark, d, "part").select(F.col("p_type").alias("skill_name"), F.col("p_brand").alias("category"), F.lit("parts").alias("source_taxonomy"), F.lit(None).cast("string").alias("taxonomy_version"), F.lit(None).cast("timestamp").alias("source_updated_at"), F.struct("p_brand", "p_partkey").alias("pos"))
+    old = A.skills(spark, d).withColumns({"taxonomy_version": F.lit(None).cast("string"), "source_updated_at": F.lit(None).cast("timestamp")})
+    return matching.upsert_skills(old, records).select("normalized_name", "source_taxonomy", "category")
+
+
+@query("select lower(p_type) normalized_name, lower(p_brand) normalized_alias, arg_max(p_size % 2 = 0, p_partkey) case_sensitive from part group by 1, 2", model=False)
+def i13_upsert_aliases(spark, d):
+    """Brands as aliases of part types."""
+    p = A.read(spark, d, "part")
+    records = p.select(F.col("p_type").alias("skill_name"), F.lit(None).cast("string").alias("category"), F.lit("parts").alias("source_taxonomy"), F.lit(None).cast("string").alias("taxonomy_version"), F.lit(None).cast("timestamp").alias("source_updated_at"), F.col("p_partkey").alias("pos"), F.col("p_brand").alias("alias"), F.lit("literal").alias("match_type"), (F.col("p_size") % 2 == 0).alias("case_sensitive"))
+    none = spark.createDataFrame([], "id long, name string, normalized_name string, category string, source_taxonomy string, taxonomy_version string, source_updated_at timestamp")
+    owned, named, _ = matching.load_taxonomy(none, spark.createDataFrame([], "id long, skill_id long, alias string, normalized_alias string, match_type string, case_sensitive boolean"), records)
+    return named.join(owned.select(F.col("id").alias("skill_id"), "normalized_name"), "skill_id").select("normalized_name", "normalized_alias", "case_sensitive")
+
+
+_FOUND = "select x, y, cast(0.95 as double) score from cand where hs union all select x, y, score from ev where score is not null"
+
+
+@query(_PAIRS + f"select x job_id, y candidate_job_id, case when x % 2 = 0 then greatest(score, 0.9) else score end score, case when x % 2 = 0 then 'dismissed' else 'pending' end status from ({_FOUND})")
+def x2_upsert_candidates(spark, d):
+    """Pairs of even first jobs were dismissed before, with a score of 0.9."""
+    t = A.tables(spark, d)
+    pairs = dedupe.candidate_pairs(t.jobs, t.listings)
+    old = pairs.where("job_id % 2 = 0").withColumns({"score": F.lit(0.9), "status": F.lit("dismissed"), "created_at": F.lit(AS_OF)})
+    return dedupe.upsert_candidates(old, pairs, AS_OF).select("job_id", "candidate_job_id", "score", "status")
+
+
+@query(_PAIRS + f", found as ({_FOUND}) select y job_id, min(x) merged_into from found where y not in (select x from found) and x not in (select y from found) group by 1")
+def x9_apply_decisions(spark, d):
+    """Merges of pairs that are no part of a chain: where the jobs' listings went."""
+    t = A.tables(spark, d)
+    candidates = dedupe.upsert_candidates(spark.createDataFrame([], "job_id long, candidate_job_id long, match_type string, score double, reason string, status string, created_at timestamp"), dedupe.candidate_pairs(t.jobs, t.listings), AS_OF)
+    first, second = candidates.select(F.col("job_id").alias("k")).distinct(), candidates.select(F.col("candidate_job_id").alias("k")).distinct()
+    single = candidates.join(first, F.col("candidate_job_id") == first["k"], "left_anti").join(second, F.col("job_id") == second["k"], "left_anti")
+    decisions = single.select("job_id", "candidate_job_id", F.lit("merge").alias("action"), F.lit("me").alias("actor"), F.lit(None).cast("string").alias("reason"), F.lit("pending").alias("expected_status"))
+    out = dedupe.apply_decisions(t.jobs, t.listings, t.job_skills.withColumns({"extraction_method": F.lit("alias:literal"), "confidence": F.lit(1.0), "matched_text": F.lit(None).cast("string")}), candidates, decisions, AS_OF)
+    moved = out["listings"].select("id", F.col("job_id").alias("merged_into")).join(t.listings.select("id", "job_id"), "id").where("job_id <> merged_into")
+    return moved.select("job_id", "merged_into").distinct()
+
+
+@query(_PAIRS + f"select x job_id, y candidate_job_id from ({_FOUND}) order by 1, 2 limit 20 offset 3")
+def x10_list_candidates(spark, d):
+    t = A.tables(spark, d)
+    pairs = dedupe.candidate_pairs(t.jobs, t.listings).withColumns({"status": F.lit("pending"), "created_at": F.lit(AS_OF)})
+    return dedupe.list_candidates(pairs, "pending", 20, 3).select("job_id", "candidate_job_id")
+
+
+@query(_FIELD + ", kept as (select l.*, row_number() over (partition by source, source_company_name, job_id % 20, salary_min, salary_max, salary_currency, lower(salary_interval), resp, req order by last_seen_at desc, id desc) r from listings l where source_company_name is not null) select id from jobs where closed_at is null and id in (select job_id from kept where r > 1) and not exists (select 1 from listings l where l.job_id = jobs.id and (l.source_company_name is null or l.id in (select id from kept where r = 1)))")
+def x6_close_orphans(spark, d):
+    """Open jobs that lose all their listings in the merge by fields."""
+    t = A.tables(spark, d)
+    moves = dedupe.merge_map(t.listings.withColumn("sections", extract_sections("description_text")), dedupe.field_key())
+    kept, _ = dedupe.merge_listings(t.listings, t.observations, moves)
+    now = AS_OF + timedelta(days=1, hours=1)
+    return dedupe.close_orphans(t.jobs, kept, moves, now).where(F.col("closed_at") == F.lit(now)).select("id")
+
+
+@query("select skill from js join open_jobs j on j.id = job_id where j.fid = 'robotics' group by 1 order by count(distinct job_id) desc, skill limit 1")
+def o4_default_trend_skill(spark, d):
+    return overview.default_trend_skill(A.tables(spark, d), AS_OF, None, "robotics")
+
+
+@query("select fid segment, count(*) as rows, any_value(confidence) confidence from (select *, case when rf is not null then 1.0 when fid = 'other' then 0.0 else 0.95 end confidence from jobs) where rf is null group by 1")
+def f19_classify_title(spark, d):
+    rows = A.jobs(spark, d).where("role_family_id is null").select(roles.classify_title("title").alias("f"))
+    return rows.groupBy(F.col("f.id").alias("segment")).agg(F.count("*").alias("rows"), F.max("f.confidence").alias("confidence"))
+
+
+@query("select id, case when salary_max is not null and factor is not null then (salary_min + salary_max) / 2 * factor end annual, coalesce((salary_min + salary_max) / 2, salary_min, salary_max) loose, case lower(salary_interval) when 'yearly' then 'yearly' when 'hour' then 'hourly' else salary_interval end as interval from listings")
+def f17_salary_functions(spark, d):
+    rows = A.listings(spark, d)
+    return rows.select("id", text.annualized_midpoint("salary_min", "salary_max", "salary_interval").alias("annual"), text.loose_midpoint("salary_min", "salary_max").alias("loose"), text.normalize_interval("salary_interval").alias("interval"))
