@@ -50,27 +50,31 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMP
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 part = batch.slice(low, 64)
-                who, bucket = _grams([t or "" for t in part["text"].to_pylist()], None, bits)
-                ids = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(np.searchsorted(who, np.arange(part.num_rows)), np.searchsorted(who, np.arange(part.num_rows), side="right"), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(ids, pa.binary())], ["toxic", "ids"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, ids binary").toArrow()
-    y = np.array(rows["toxic"], np.float64)
-    if len(set(y.tolist())) < 2:
+                who, bucket = _grams([t or "" for t in part["text"].to_pylist()], wanted, bits)
+                ends = np.searchsorted(who, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["toxic"], pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], ["toxic", "ids"])
+
+    schema = "toxic int, ids array<int>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("toxic", "text")
+    every = rows.mapInArrow(lambda batches: features(batches, None), schema)
+    marked = every.select("toxic", F.explode(F.array_append("ids", -1)).alias("bucket"))  # bucket -1 counts rows
+    found = marked.groupBy("bucket").agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("other"))
+    found = found.where((F.col("bucket") < 0) | (F.col("toxic") + F.col("other") >= SUPPORT)).toArrow()  # at most 2^bits rows
+    at, toxic, other = (np.array(found[c]) for c in ("bucket", "toxic", "other"))
+    if not (at < 0).any() or min(toxic[at < 0][0], other[at < 0][0]) == 0:
         return None
-    ids = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["ids"]]  # views of the table, a row at a time below
-    counts_of = np.zeros((2, 1 << bits), np.int32)
-    for label, own in zip(y.astype(int).tolist(), ids, strict=True):
-        counts_of[label, own] += 1
-    ratio = (np.log((counts_of[1] + 1) / (y.sum() + 2)) - np.log((counts_of[0] + 1) / ((1 - y).sum() + 2))).astype(np.float32)
-    ratio[(counts_of.sum(axis=0) < SUPPORT) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    ids = [own[ratio[own] != 0] for own in ids]
-    row, bucket = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
-    del rows, ids, counts_of
+    ratio = np.zeros(1 << bits, np.float32)
+    ratio[at[at >= 0]] = (np.log((toxic + 1) / (toxic[at < 0] + 2)) - np.log((other + 1) / (other[at < 0] + 2)))[at >= 0]
+    ratio[np.abs(ratio) < LEAST_RATIO] = 0
+    kept = docs.sparkSession.sparkContext.broadcast(ratio)
+    table = rows.mapInArrow(lambda batches: features(batches, kept.value), schema).toArrow()
+    y = np.array(table["toxic"], np.float64)
+    ids = table["ids"].to_pylist()
+    row, bucket = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.array([b for x in ids for b in x], np.int64)
     used, column = np.unique(bucket, return_inverse=True)
     value = ratio[used][column]
     w, b = np.zeros(len(used)), 0.0
