@@ -125,14 +125,13 @@ def test_ingest_life_of_a_posting(spark):
     t = model(spark, [], [], companies=())
     t = t.with_(jobs=t.jobs.withColumn("job_key", F.lit(None).cast("string")), listings=t.listings.withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")), observations=t.observations.withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")))
     aliases, candidates = adapters.aliases(spark, [(1, 1, "SQL", False)]), table(spark, "duplicate_job_candidates", [])
-    targets = lambda run, error=None: spark.createDataFrame([(run, "adzuna", "data", error)], "run_id string, source string, ingest_query string, error string").where("error is null")
     posting = {"source_job_id": "9", "canonical_url": "https://a.test/9", "description_text": "old"}
     runs = [[posting, {**posting, "description_text": "knows SQL"}], [], [], [], [posting]]
     states = []
     for k, rows in enumerate(runs):
         at = NOW + timedelta(days=k)
         errors = spark.createDataFrame([(f"r{k}", "adzuna", "data", None)], "run_id string, source string, ingest_query string, error string")
-        out = ingest.ingest(t, aliases, candidates, batch(spark, rows, f"r{k}"), targets(f"r{k}"), at) if False else ingest.ingest(t, aliases, candidates, batch(spark, rows, f"r{k}"), errors, at)
+        out = ingest.ingest(t, aliases, candidates, batch(spark, rows, f"r{k}"), errors, at)
         out = {n: spark.createDataFrame(df.collect(), df.schema) for n, df in out.items()}
         t = t.with_(companies=out["companies"], jobs=out["jobs"], listings=out["listings"], observations=out["observations"], job_skills=out["job_skills"])
         candidates = out["candidates"]
