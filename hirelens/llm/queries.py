@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(_read(spark, sf_dir, "documents"))
+    return line_dedup.removed_lines(_read(spark, sf_dir, "documents"), size=line_dedup.WORD)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
