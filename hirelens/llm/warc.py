@@ -3,7 +3,9 @@
 Payload bytes are stored once by SHA-256; record headers are stored apart, exactly as the
 WARC text has them, with the digest that leads to their payload. Reading joins headers to
 payloads by digest, checks length, SHA-1 and SHA-256 of what comes back, and fails on any
-difference. Of records with equal payloads of at least `least` bytes the one with the
+difference. The query rebuilds every record so: its digest and length are of the rebuilt
+payload, its id, type and reference are read from the stored header, and a header that is
+malformed or does not fit its payload fails. Of records with equal payloads of at least `least` bytes the one with the
 largest page_id is the response and the others are revisits that refer to it.
 
 Cases: null html is an empty payload; a null page_id is archived as it is; rows that repeat
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from hirelens.llm.common import stored
 
 LEAST = 1000
+#: How a header starts.
+HEADER = r"^WARC/1\.1\r\nWARC-Type: (?:response|revisit)\r\nWARC-Record-ID: "
 
 
 @dataclass
@@ -77,6 +81,20 @@ def read_digests(archive: Archive) -> DataFrame:
     return joined.select("page_id", F.col("bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def described(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of rebuilt records: measured on the payload, read from the header."""
+    digest, size = F.sha1("payload"), F.octet_length("payload").cast("long")
+    field = lambda k: F.regexp_extract("header", k, 1)
+    number = lambda c: F.when(c != "", c).cast("long")
+    page, target = field(HEADER + r"<urn:page:(-?\d*)>\r\n"), field(r"\r\nWARC-Payload-Digest: sha1:[0-9a-f]{40}\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\nContent-Length: 0\r\n\r\n\z")
+    kind = field(HEADER.replace("(?:", "("))
+    length = F.when(kind == "revisit", F.lit(0)).otherwise(size)
+    ends = F.concat(F.lit("\r\nWARC-Payload-Digest: sha1:"), digest, F.lit("\r\n"), F.when(target != "", F.concat(F.lit("WARC-Refers-To: <urn:page:"), target, F.lit(">\r\n"))).otherwise(F.lit("")), F.lit("Content-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
+    good = (kind != "") & ((kind == "revisit") == (target != "")) & F.endswith("header", ends) & number(page).eqNullSafe(F.col("page_id"))
+    checked = F.when(F.coalesce(good, F.lit(False)), kind).otherwise(F.raise_error(F.concat(F.lit("damaged header of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("string"))
+    return records.select(number(page).alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), checked.alias("record_type"), number(target).alias("refers_to"))
+
+
 def archived_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back."""
-    return read_digests(write_archive(pages, least))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, as rebuilt from the archive."""
+    return described(read_archive(write_archive(pages, least)))

@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
-from hirelens.llm import queries
+import pytest
+from pyspark.sql import functions as F
+
+from hirelens.llm import queries, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,3 +34,22 @@ def test_lines_match_by_words(spark, tmp_path):
     assert got == expected and (1, 0) in got and (1, 1) not in got
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
     assert left[1] == "alpha beta gamma delta"
+
+
+def test_archive_is_read_back(spark, tmp_path, monkeypatch):
+    big = "x" * 1500
+    rows = [(1, "u1", big), (5, "u\r\nWARC-Refers-To: <urn:page:77>\r\n", big), (2, "u2", "small"), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in queries.op4_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: (1500, "revisit", 5), 5: (1500, "response", None), 2: (5, "response", None), None: (0, "response", None)}
+    write = warc.write_archive
+    header = F.col("header")
+    for bad in (F.replace(header, F.lit("WARC-Type: revisit"), F.lit("WARC-Type: response")), F.replace(header, F.lit("<urn:page:2>"), F.lit("<urn:page:3>")), F.replace(header, F.lit("Length: 5"), F.lit("Length: 6")), F.substring(header, 3, 5000)):
+
+        def damaged(pages, least, bad=bad):
+            archive = write(pages, least)
+            return warc.Archive(archive.headers.withColumn("header", bad), archive.payloads)
+
+        monkeypatch.setattr(warc, "write_archive", damaged)
+        with pytest.raises(Exception, match="damaged header"):
+            queries.op4_warc(spark, str(tmp_path)).collect()
