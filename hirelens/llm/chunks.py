@@ -2,7 +2,8 @@
 
 A byte-level pre-tokenizer never lets a token cross from a non-blank to a following space,
 so `text` may be cut before each space that stands between non-blanks, and each chunk may be
-encoded by itself. Texts with a space beside another blank are encoded whole.
+encoded by itself. Texts with a space beside another blank are encoded whole, and so are
+texts that hold an added token's literal, which is that token as the library has it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
@@ -65,7 +66,7 @@ class ChunkEncoder:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
         if not text:
             return b""
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE_BLANK.search(text):
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE_BLANK.search(text) or any([x in text for x in self.added]):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         kept = self.kept

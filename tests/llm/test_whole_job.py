@@ -1,12 +1,16 @@
 """What the registered queries must do over the whole of their job."""
 
 import random
+import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from hirelens.llm import queries, warc
+from hirelens.llm.chunks import encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +57,22 @@ def test_archive_is_read_back(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(warc, "write_archive", damaged)
         with pytest.raises(Exception, match="damaged header"):
             queries.op4_warc(spark, str(tmp_path)).collect()
+
+
+def fresh_ids(text, end):
+    """The ids by the library as it comes."""
+    return np.array([*Tokenizer.from_file(vocabulary()).encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "x  y <|endoftext|> z", "plain words, no literal", "half <|endof text|> of it", None]
+    assert [np.frombuffer(encoder(vocabulary()).encode(t), "<u4").tolist() for t in texts] == [fresh_ids(t, 0)[:-1].tolist() for t in texts]
+    sf = documents(spark, tmp_path, [(k, t, "s") for k, t in enumerate(texts)])
+    written = {r["doc_id"]: r for r in queries.op7_token_output(spark, sf).collect()}
+    packed = {r["doc_id"]: r for r in queries.op2_packing(spark, sf).collect()}
+    start = 0
+    for k, t in enumerate(texts):
+        ids = fresh_ids(t, 2)
+        assert (written[k]["start"], written[k]["n_tokens"], written[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+        assert (packed[k]["doc_tokens"], packed[k]["ids_crc32"]) == (len(ids), zlib.crc32(fresh_ids(t, 1).tobytes()))
