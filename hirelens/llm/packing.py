@@ -9,9 +9,11 @@ source j has given after k windows follow in closed form from the queue lengths
 
 Encoding is one pass over the documents, without a shuffle of texts. A task writes its ids
 and its running position in each queue; the queue positions of whole tasks are sums over a
-small table of (task, source). A queue is ordered by task, then by row.
+small table of (task, source). A queue is ordered by task, then by row. Of more than QUEUES
+sources those with the most tokens have queues of their own, and the others share SHARED
+queues by a hash; a shared queue is ordered by task, then by source, then by row.
 
-Cases: a null source is a queue of its own; null and empty text have only the end id; a
+Cases: a null source is a source of its own; null and empty text have only the end id; a
 repeated row is packed again; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,8 +34,8 @@ from hirelens.llm.chunks import encoder, vocabulary
 from hirelens.llm.common import stored
 
 SEQUENCE, WINDOW_SEQUENCES = 2048, 16
-#: Beyond so many sources the rarest share queues (by a hash of the source), so that the table of queues stays small.
-QUEUES = 256
+#: Beyond so many sources all but the QUEUES - 1 largest share queues (by a hash of the source), so that the table of queues stays small.
+QUEUES, SHARED = 256, 32
 
 
 def given(m: np.ndarray, lengths: list[int]) -> np.ndarray:
@@ -106,21 +108,28 @@ def encode_documents(docs: DataFrame, end_id: int, path: str) -> DataFrame:
 def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of every piece."""
     encoded = encode_documents(docs, end_id, path or vocabulary())
-    sums = encoded.groupBy("part", "source").agg(F.sum("n").alias("ids_of_part"))
-    bases = stored(sums.select("part", "source", "ids_of_part", (F.sum("ids_of_part").over(Window.partitionBy("source").orderBy("part")) - F.col("ids_of_part")).alias("base")))
-    queue = F.coalesce(F.col("source"), F.lit("\0null"))
-    if bases.select("source").distinct().count() > QUEUES:
-        raise ValueError(f"more than {QUEUES} sources; group them before packing")
-    totals = sorted(bases.groupBy(queue.alias("queue")).agg(F.sum("ids_of_part").alias("n")).collect())  # at most QUEUES rows
-    number, lengths = {r["queue"]: k for k, r in enumerate(totals)}, [r["n"] for r in totals]
+    sums = stored(encoded.groupBy("part", "source").agg(F.sum("n").alias("n")))
+    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES + 1).collect()
+    own = sorted((r["source"] for r in (largest if len(largest) <= QUEUES else largest[: QUEUES - 1])), key=lambda x: (x is not None, x))
+    numbers = F.broadcast(encoded.sparkSession.createDataFrame([(x, k) for k, x in enumerate(own)], "own string, number int"))
+    queue = F.when(F.col("number").isNull(), F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int") + len(own)).otherwise(F.col("number"))
+    queued = sums.join(numbers, F.col("source").eqNullSafe(F.col("own")), "left").select("part", "source", "n", queue.alias("queue"))
+    # where a task's share of a queue begins, and within it each of the task's sources
+    shares = queued.groupBy(F.col("part").alias("p"), F.col("queue").alias("q")).agg(F.sum("n").alias("m"))
+    shares = shares.select("p", "q", (F.sum("m").over(Window.partitionBy("q").orderBy("p")) - F.col("m")).alias("share"))
+    within = F.sum("n").over(Window.partitionBy("part", "queue").orderBy("source")) - F.col("n")
+    placed = queued.select("part", "source", "n", "queue", within.alias("within")).join(shares, (F.col("part") == F.col("p")) & (F.col("queue") == F.col("q")))
+    bases = stored(placed.select("part", "source", "n", "queue", (F.col("share") + F.col("within")).alias("base")))
+    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most QUEUES - 1 + SHARED rows
+    lengths = [totals.get(k, 0) for k in range(max(totals, default=-1) + 1)]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = np.array([number["\0null" if s is None else s] for s in batch["source"].to_pylist()], np.int64)
+            queues = np.array(batch["queue"])
             start, n = np.array(batch["start"]), np.array(batch["n"])
             ids, docs_, names = batch["ids"], batch["doc_id"], batch["source"]
-            for q in np.unique(source).tolist():
-                own = np.flatnonzero(source == q)
+            for q in np.unique(queues).tolist():
+                own = np.flatnonzero(queues == q)
                 row, first, length, s, offset = pieces(q, start[own], n[own], lengths, sequence, sequence * window_sequences)
                 row = own[row]
                 views = {r: memoryview(ids[r].as_buffer()) for r in own.tolist()}
@@ -128,5 +137,5 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WIND
                 yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), pa.array(first), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(s), pa.array(offset), names.take(pa.array(row))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     same = F.col("e.source").eqNullSafe(F.col("b.source")) & (F.col("e.part") == F.col("b.part"))
-    placed = encoded.alias("e").join(bases.alias("b"), same).select("doc_id", F.col("e.source").alias("source"), (F.col("base") + F.col("before")).alias("start"), "n", "ids")
+    placed = encoded.alias("e").join(bases.alias("b"), same).select("doc_id", F.col("e.source").alias("source"), "queue", (F.col("base") + F.col("before")).alias("start"), F.col("e.n").alias("n"), "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

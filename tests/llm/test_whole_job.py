@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hirelens.llm import queries, warc
+from hirelens.llm import packing, queries, warc
 from hirelens.llm.chunks import encoder, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,3 +76,25 @@ def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
         assert (written[k]["start"], written[k]["n_tokens"], written[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
         assert (packed[k]["doc_tokens"], packed[k]["ids_crc32"]) == (len(ids), zlib.crc32(fresh_ids(t, 1).tobytes()))
+
+
+def test_any_number_of_sources_is_packed(spark, tmp_path):
+    """Over 400 sources: the large ones hold the mixture, the others share queues, and all ids are packed once."""
+    rows = [(k, f"text {k} " * (k % 7), None if k % 401 == 400 else f"s{k % 401}") for k in range(1300)] + [(2000 + k, "a longer document of a large source " * 40, f"s{k % 2}") for k in range(20)]
+    sf = documents(spark, tmp_path, rows)
+    out = packing.pack(spark.read.parquet(f"{sf}/documents.parquet").repartition(5), sequence=64, window_sequences=8).toPandas()
+    source, texts = {i: s for i, _, s in rows}, {i: t for i, t, _ in rows}
+    for i, own in out.sort_values("start").groupby("doc_id"):
+        at, ids = 0, np.array([*encoder(vocabulary()).whole.encode(texts[i], add_special_tokens=False).ids, 1], "<u4")
+        for p in own.itertuples():
+            assert p.start == at and p.doc_tokens == len(ids) and zlib.crc32(ids[at : at + p.length].tobytes()) == p.ids_crc32 and (p.source or None) == source[i]
+            at += p.length
+        assert at == len(ids)
+    assert set(out.doc_id) == set(source)
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert (s.offset.to_numpy() == np.r_[0, np.cumsum(s.length)[:-1]]).all()
+    assert out.length.sum() > 64 * out.sequence_id.max() and out.groupby("sequence_id").length.sum().max() == 64
+    window = out[out.sequence_id // 8 < out.sequence_id.max() // 8]
+    large = window[window.source == "s0"].groupby(window.sequence_id // 8).length.sum()
+    assert (abs(large - 512 * out[out.source == "s0"].length.sum() / out.length.sum()) <= 2).all()
+    assert len(queries.op2_packing(spark, sf).select("doc_id").distinct().collect()) == len(rows)
