@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hirelens.functions.text import col
+from hirelens.functions.text import col, let
 
 #: Families in order of priority, each with its title phrases.
 FAMILIES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -39,11 +39,9 @@ def _family(fid: str, label: str, confidence: float, phrase: Column) -> Column:
 def classify_title(title: str | Column) -> Column:
     """struct<id, label, confidence, phrase>: the first phrase, by priority, that is in the title as whole words."""
     padded = F.concat(F.lit(" "), F.coalesce(normalize_title(title), F.lit("")), F.lit(" "))
-    found = F.when(F.lit(False), _family(OTHER, OTHER_LABEL, 0.0, F.lit(None)))
-    for fid, (label, phrases) in FAMILIES.items():
-        for phrase in phrases:
-            found = found.when(padded.contains(f" {phrase} "), _family(fid, label, 0.95, F.lit(phrase)))
-    return found.otherwise(_family(OTHER, OTHER_LABEL, 0.0, F.lit(None)))
+    known = F.array(*[F.struct(F.lit(f" {phrase} ").alias("key"), _family(fid, label, 0.95, F.lit(phrase)).alias("family")) for fid, (label, phrases) in FAMILIES.items() for phrase in phrases])
+    found = let(padded, lambda t: F.get(F.filter(known, lambda k: F.contains(t, k["key"])), F.lit(0))["family"])
+    return F.coalesce(found, _family(OTHER, OTHER_LABEL, 0.0, F.lit(None)))
 
 
 def custom_family_id(name: str | Column) -> Column:

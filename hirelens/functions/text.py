@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(c: str | Column) -> Column:
     """Trimmed text, Unicode blanks too; null becomes empty."""
     return F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
@@ -67,8 +73,7 @@ def normalize_query(c: str | Column) -> Column:
 
 
 def substantive_text(c: str | Column) -> Column:
-    text = normalize_text(c)
-    return F.when(F.length(text) >= SHORT_TEXT, text)
+    return let(normalize_text(c), lambda text: F.when(F.length(text) >= SHORT_TEXT, text))
 
 
 def content_hash(c: str | Column) -> Column:
