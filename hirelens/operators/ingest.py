@@ -140,14 +140,17 @@ def ingestion_summary(targets: DataFrame, batch: DataFrame, job_skills: DataFram
 
 
 def ingest(t: Tables, aliases: DataFrame, candidates: DataFrame, batch: DataFrame, targets: DataFrame, now: datetime) -> dict[str, DataFrame]:
-    """One run over all its targets: every table after it. t.jobs has job_key, t.listings has ingest_query."""
-    rows = dedupe_batch(batch)
+    """One run over all its targets: every table after it. t.jobs has job_key, t.listings has ingest_query.
+
+    What several tables are made from (the batch, listings, jobs) is persisted; clear the cache when all are written.
+    """
+    rows = dedupe_batch(batch).persist()
     companies = upsert_companies(t.companies, rows)
     jobs = upsert_jobs(t.jobs, rows, companies, now)
-    listings = upsert_listings(t.listings, rows, now)
+    listings = upsert_listings(t.listings, rows, now).persist()
     missed = missing_listings(listings, rows, targets, now)
     observations = t.observations.unionByName(observations_of(rows, now)).unionByName(missed)
-    jobs = close_jobs(reopen_jobs(jobs, listings, rows), listings, observations, missed, now)
+    jobs = close_jobs(reopen_jobs(jobs, listings, rows), listings, observations, missed, now).persist()
     touched = rows.select(F.xxhash64(job_key(F.col("canonical_url"))).alias("id"), "text_quality").join(jobs.select("id", "description_text"), "id").withColumnRenamed("id", "job_id")
     job_skills = matching.upsert_job_skills(t.job_skills, matching.extract_job_skills(touched, aliases))
     buckets = jobs.join(touched.select(F.col("job_id").alias("id")), "id", "left_semi").select("company_id", "normalized_title").distinct()

@@ -55,12 +55,16 @@ def a2_active_listings(spark, d):
     return active.active_listings(A.tables(spark, d), AS_OF).select("id", "job_id", "source")
 
 
-@query("select l.id, e.company, e.fid role_family from every e join listings l using (id) where l.source = 'lever' and (contains(e.ntitle, 'engineer') or contains(lower(coalesce(e.cname, e.source_company_name)), 'engineer'))")
+_TEXT = "'responsibilities: keep system number ' || resp || ' of the platform running. requirements: ' || req || ' years of work with large tables.'"
+
+
+@query(f"select id, coalesce(cname, source_company_name, 'UNKNOWN') company, fid role_family, 1 hit from every where source = 'lever' and (contains(ntitle, 'number 2 of') or contains({_TEXT}, 'number 2 of')) union all select id, coalesce(cname, source_company_name, 'UNKNOWN'), fid, 2 from every where contains(ntitle, 'data engineer') or contains({_TEXT}, 'data engineer')")
 def a3_search_listings(spark, d):
+    """By source and a part of the description, and by a part of the title."""
     t = A.tables(spark, d)
-    # the description is left out of this search, so that SQL can repeat it
-    view = active.listing_view(t.with_(listings=t.listings.withColumn("description_text", F.lit(None).cast("string"))), t.listings.withColumn("description_text", F.lit(None).cast("string")))
-    return active.search_listings(view, "lever", None, " ENGINEER ").select("id", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), "role_family")
+    view = active.listing_view(t, t.listings)
+    rows = lambda n, *how: active.search_listings(view, *how).select("id", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), "role_family", F.lit(n).alias("hit"))
+    return rows(1, "lever", None, " NUMBER  2 of ").unionByName(rows(2, None, None, "Data Engineer"))
 
 
 @query("select id, source, title, coalesce(cname, source_company_name) company, fid role_family, coalesce((salary_min + salary_max) / 2, salary_min, salary_max) salary_midpoint, 'keep system number ' || resp || ' of the platform running.' responsibilities from every")
@@ -390,13 +394,17 @@ def x7_duplicate_stats(spark, d):
     return dedupe.duplicate_stats(rows.withColumn("sections", extract_sections("description_text"))).select("field_groups", "field_removable", F.col("identity_groups").cast("int").alias("identity_groups"), F.col("identity_removable").cast("int").alias("identity_removable"))
 
 
-@query(_FIELD + " select cast(count(*) - (select sum(n - 1) from fg) as bigint) left_over from listings")
+@query("""select id, strftime(f, '%Y-%m-%d') first_seen, strftime(l, '%Y-%m-%d') last_seen, cast(n as bigint) observations from (
+  select id, row_number() over (partition by g order by last_seen_at desc, id desc) r, min(first_seen_at) over (partition by g) f, max(last_seen_at) over (partition by g) l, sum(n) over (partition by g) n from (
+    select x.*, coalesce(o.n, 0) n, case when source_company_name is null then id::varchar else concat_ws('|', 'g', source, source_company_name, job_id % 20, coalesce(salary_min::varchar, '-'), coalesce(salary_max::varchar, '-'), salary_currency, coalesce(lower(salary_interval), '-'), resp, req) end g
+    from listings x left join (select lid, count(*) n from obs group by 1) o on o.lid = x.id)) where r = 1""")
 def x5_merge_fields(spark, d):
+    """Every listing that is left after the merge by fields, with its widened times and its observations."""
     t = A.tables(spark, d)
-    rows = t.listings.withColumn("sections", extract_sections("description_text"))
-    moves = dedupe.merge_map(rows, dedupe.field_key())
-    kept, _ = dedupe.merge_listings(t.listings, t.observations, moves)
-    return kept.agg(F.count("*").alias("left_over"))
+    moves = dedupe.merge_map(t.listings.withColumn("sections", extract_sections("description_text")), dedupe.field_key())
+    kept, moved = dedupe.merge_listings(t.listings, t.observations, moves)
+    seen = moved.groupBy(F.col("source_listing_id").alias("id")).agg(F.count("*").alias("observations"))
+    return kept.join(seen, "id", "left").select("id", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), F.coalesce("observations", F.lit(0).cast("bigint")).alias("observations"))
 
 
 @query(_PAIRS + "select count(*) pairs, count(*) created, 0 refreshed, count(*) pending from (select x from cand where hs union all select x from ev where score is not null)")
@@ -408,11 +416,11 @@ def x8_scan_candidates(spark, d):
 
 # overview and pages
 
-@query("select (select count(*) from open_jobs) open_jobs, (select count(*) from listings) all_listings, (select count(*) from companies) all_companies, (select count(*) from skills) skills, 0 pending_duplicates, (select round(count(*) filter (paid) / count(*), 4) from facts) disclosure_rate, (select count(*) from facts) active_listings")
+@query("select (select count(*) from open_jobs) open_jobs, (select count(*) from listings) all_listings, (select count(*) from companies) all_companies, (select count(*) from skills) skills, (select count(*) from jobs where id % 3 = 0) pending_duplicates, (select round(count(*) filter (paid) / count(*), 4) from facts) disclosure_rate, (select count(*) from facts) active_listings")
 def o1_overview_kpis(spark, d):
     t, facts = _facts(spark, d)
-    none = spark.createDataFrame([], "status string")
-    return overview.overview_kpis(t, facts, none, AS_OF).select("open_jobs", "all_listings", "all_companies", "skills", F.col("pending_duplicates").cast("int").alias("pending_duplicates"), F.round("disclosure_rate", 4).alias("disclosure_rate"), "active_listings")
+    candidates = t.jobs.select(F.when(F.col("id") % 3 == 0, "pending").otherwise("merged").alias("status"))
+    return overview.overview_kpis(t, facts, candidates, AS_OF).select("open_jobs", "all_listings", "all_companies", "skills", "pending_duplicates", F.round("disclosure_rate", 4).alias("disclosure_rate"), "active_listings")
 
 
 @query("select count(*) filter (salary_min is null and salary_max is null) without_salary, count(*) filter (not exists (select 1 from job_skills s where s.job_id = listings.job_id)) without_skills from listings")
@@ -535,11 +543,11 @@ def f20_custom_family(spark, d):
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-# upserts: the batch is a posting for each listing of an even order, under the listing's identity
+# upserts: the batch is a posting for every listing, under the listing's identity
 
 
 def _batch(spark, d):
-    rows = A.listings(spark, d).where("job_id % 2 = 0")
+    rows = A.listings(spark, d)
     names = A.companies(spark, d).select(F.col("id").alias("c"), F.col("name").alias("company_name"))
     owners = A.jobs(spark, d).select(F.col("id").alias("job_id"), F.coalesce("company_id", F.lit(1)).alias("c"), F.col("canonical_url").alias("url"))
     out = rows.join(owners, "job_id").join(names, "c")
@@ -549,7 +557,7 @@ def _batch(spark, d):
     )
 
 
-_BATCH = ", batch as (select l.*, coalesce(j.company_id, 1) cid from listings l join jobs j on j.id = l.job_id where l.job_id % 2 = 0)"
+_BATCH = ", batch as (select l.*, coalesce(j.company_id, 1) cid from listings l join jobs j on j.id = l.job_id)"
 
 
 @query(_BATCH + " select name, case when id in (select cid from batch) then 'Technology' when id % 3 = 0 then industry end industry from companies where id % 3 = 0 or id in (select cid from batch)")
@@ -558,7 +566,7 @@ def i2_upsert_companies(spark, d):
     return ingest.upsert_companies(A.companies(spark, d).where("id % 3 = 0"), _batch(spark, d)).select("name", "industry")
 
 
-@query("select 'https://example.test/jobs/' || id canonical_url, lower(title) normalized_title, strftime(case when id % 2 = 0 and id in (select job_id from listings) then timestamp '2001-08-01' else last_seen_at end, '%Y-%m-%d') last_seen, closed_at is null or (id % 2 = 0 and id in (select job_id from listings)) as is_open from jobs where id % 3 = 0 or (id % 2 = 0 and id in (select job_id from listings))".replace("else last_seen_at", "else last_seen_at"))
+@query("select 'https://example.test/jobs/' || id canonical_url, lower(title) normalized_title, strftime(case when id in (select job_id from listings) then timestamp '2001-08-01' else last_seen_at end, '%Y-%m-%d') last_seen, closed_at is null or id in (select job_id from listings) as is_open from jobs where id % 3 = 0 or id in (select job_id from listings)")
 def i3_upsert_jobs(spark, d):
     """A third of the jobs is known beforehand; a job of the batch is seen now and open."""
     old = A.jobs(spark, d).where("id % 3 = 0").withColumn("job_key", F.concat(F.lit("url:"), "canonical_url"))
@@ -567,7 +575,7 @@ def i3_upsert_jobs(spark, d):
     return out.select("canonical_url", "normalized_title", day("last_seen_at").alias("last_seen"), F.col("closed_at").isNull().alias("is_open"))
 
 
-@query(_BATCH + " select id, source, strftime(case when id % 10 in (1, 2) then first_seen_at else timestamp '2001-08-01' end, '%Y-%m-%d') first_seen, strftime(case when job_id % 2 = 0 then timestamp '2001-08-01' else last_seen_at end, '%Y-%m-%d') last_seen, salary_min from listings where id % 10 in (1, 2) or job_id % 2 = 0")
+@query(_BATCH + " select id, source, strftime(case when id % 10 in (1, 2) then first_seen_at else timestamp '2001-08-01' end, '%Y-%m-%d') first_seen, '2001-08-01' last_seen, salary_min from listings")
 def i4_upsert_listings(spark, d):
     """First and second listings of a job are known beforehand."""
     old = A.listings(spark, d).where("id % 10 in (1, 2)").withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.lit(None).cast("string"))
@@ -575,7 +583,7 @@ def i4_upsert_listings(spark, d):
     return out.select(F.col("source_job_id").cast("long").alias("id"), "source", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), "salary_min")
 
 
-@query("select id, (closed_at is null or (id % 2 = 0 and id in (select job_id from listings))) as is_open from jobs")
+@query("select id, (closed_at is null or id in (select job_id from listings)) as is_open from jobs")
 def i5_reopen_jobs(spark, d):
     t = A.tables(spark, d)
     return ingest.reopen_jobs(t.jobs, t.listings, _batch(spark, d)).select("id", F.col("closed_at").isNull().alias("is_open"))
@@ -626,19 +634,20 @@ def x2_upsert_candidates(spark, d):
     return dedupe.upsert_candidates(old, pairs, AS_OF).select("job_id", "candidate_job_id", "score", "status")
 
 
-@query(_PAIRS + f", found as ({_FOUND}) select y job_id, min(x) merged_into from found where y not in (select x from found) and x not in (select y from found) group by 1")
+@query(_PAIRS + f", found as ({_FOUND}), m as (select y, min(x) x from found group by 1), r as (select y, x from m union all select r.y, m.x from r join m on m.y = r.x) select y job_id, min(x) merged_into from r group by 1")
 def x9_apply_decisions(spark, d):
-    """Merges of pairs that are no part of a chain: where the jobs' listings went."""
+    """All candidate pairs merged, chains included: where each merged job's listings went."""
     t = A.tables(spark, d)
     candidates = dedupe.upsert_candidates(spark.createDataFrame([], "job_id long, candidate_job_id long, match_type string, score double, reason string, status string, created_at timestamp"), dedupe.candidate_pairs(t.jobs, t.listings), AS_OF)
-    first, second = candidates.select(F.col("job_id").alias("k")).distinct(), candidates.select(F.col("candidate_job_id").alias("k")).distinct()
-    single = candidates.join(first, F.col("candidate_job_id") == first["k"], "left_anti").join(second, F.col("job_id") == second["k"], "left_anti")
-    decisions = single.select("job_id", "candidate_job_id", F.lit("merge").alias("action"), F.lit("me").alias("actor"), F.lit(None).cast("string").alias("reason"), F.lit("pending").alias("expected_status"))
+    decisions = candidates.select("job_id", "candidate_job_id", F.lit("merge").alias("action"), F.lit("me").alias("actor"), F.lit(None).cast("string").alias("reason"), F.lit("pending").alias("expected_status"))
     out = dedupe.apply_decisions(t.jobs, t.listings, t.job_skills.withColumns({"extraction_method": F.lit("alias:literal"), "confidence": F.lit(1.0), "matched_text": F.lit(None).cast("string")}), candidates, decisions, AS_OF)
     moved = out["listings"].select("id", F.col("job_id").alias("merged_into")).join(t.listings.select("id", "job_id"), "id").where("job_id <> merged_into")
     return moved.select("job_id", "merged_into").distinct()
 
 
+ORACLE_SQL["x9_apply_decisions"] = ORACLE_SQL["x9_apply_decisions"].replace("with titles", "with recursive titles", 1)
+
+
 @query(_PAIRS + f"select x job_id, y candidate_job_id from ({_FOUND}) order by 1, 2 limit 20 offset 3")
 def x10_list_candidates(spark, d):
     t = A.tables(spark, d)
