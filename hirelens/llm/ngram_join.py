@@ -1,24 +1,29 @@
 """N-gram Jaccard join with a token-group matrix.
 
 A document's set holds its distinct 4-word shingles as 64-bit hashes. Documents with equal
-sets are folded into one. Similar documents are put into groups of about GROUP members; the
-matrix says which groups have which tokens. Where it is spread over tasks only the tokens
-are kept that a match needs: under one order of all tokens, two sets with a Jaccard
-similarity of 0.85 share m of their first n - ceil(0.85 n) + m tokens. Pairs of groups
-that share m such tokens are opened: every member is first held against the other group's
-token union, since no member of the group can overlap it in more; only members that can
-still reach the threshold are compared, exactly.
-
-The order puts tokens that many documents have last, so that a passage which thousands of
-documents share pairs none of them up. Which tokens are common is counted in CELLS hash
-cells over all documents, a table of fixed size; the order steers the work, not the result.
-Groups are formed by the commonest of these tokens, so that near copies meet in one group,
-and a large set of near copies is split into groups of bounded size.
+sets are folded into one. Similar documents are put into groups of about GROUP members (and
+at most about GROUP_TOKENS tokens); the matrix says which groups have which tokens. Where it
+is spread over tasks only the tokens are kept that a match needs: under one order of all
+tokens, two sets with a Jaccard similarity of 0.85 share m of their first
+n - ceil(0.85 n) + m tokens. The order puts tokens that many documents have last, so that a
+passage which thousands of documents share pairs none of them up. Which tokens are common is
+counted in CELLS hash cells over all documents, a table of fixed size; the order steers the
+work, not the result.
+
+Groups are opened in two steps. First each group by itself: groups are formed by the commonest
+of the kept tokens, so that near copies meet in one group; where a token has many documents
+they are split by a hash, and the least of them joins every part, so that what is like it is
+linked through it. Then groups of different components: what the first step has linked is one
+group of the matrix, however large, and is never compared with itself again. Pairs of groups
+that share enough kept tokens qualify; only members that share enough of them are shipped, in
+blocks, and every member is first held against the other block's token union, since no member
+can overlap it in more. What is left is compared exactly.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; equal texts link;
 a null doc_id links with nothing and has a null component; rows that repeat a doc_id are
 documents of their own, each with the class of its set, and share a class where the id is
-the smallest of both sets; an empty table gives no rows; other columns are ignored.
+the smallest of both sets; an empty table gives no rows; other columns are ignored, and
+carried by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,13 +35,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.llm.common import stored
 from hirelens.llm.components import components
 
 SHINGLE, PERCENT, GROUP, CELL_BITS, BLOCK_BITS = 4, 85, 64, 20, 12
+#: Tokens of a group that are opened together, and columns of a matrix that is multiplied at once.
+GROUP_TOKENS, COLUMNS = 1 << 20, 1 << 16
 #: A set of n tokens has n // SHARED_PART tokens more in its prefix, and must share as many more.
 SHARED_PART = 20
 #: Ids of documents whose groups are opened are broadcast up to so many; more are joined by a shuffle.
@@ -164,14 +171,18 @@ def _links(ids_a: np.ndarray, sets_a: list[np.ndarray], ids_b: np.ndarray, sets_
     a, b = [sets_a[k] for k in left], [sets_b[k] for k in right]
     vocabulary = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
 
-    def matrix(sets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(sets), len(vocabulary)), np.float32)
+    def matrix(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(own)), np.float32)
         for k, s in enumerate(sets):
-            at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
-            out[k, at[vocabulary[at] == s]] = 1
+            s = s[np.searchsorted(s, own[0]) : np.searchsorted(s, own[-1], "right")]
+            at = np.searchsorted(own, s)
+            out[k, at[own[at] == s]] = 1
         return out
 
-    shared = matrix(a) @ matrix(b).T
+    shared = np.zeros((len(a), len(b)))
+    for low in range(0, len(vocabulary), COLUMNS):
+        own = vocabulary[low : low + COLUMNS]
+        shared += matrix(a, own) @ matrix(b, own).T
     sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
     i, j = np.nonzero(100 * shared >= percent * (sizes - shared))
     return [(int(ids_a[left[x]]), int(ids_b[right[y]])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
@@ -213,75 +224,97 @@ def _spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _parts(rows: DataFrame, key: str, group: int) -> DataFrame:
+    """(key, parts, leader) of keys with too much for one group; a row for each GROUP members at least."""
+    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int").alias("parts")
+    return rows.groupBy(key).agg(parts, F.min("rep").alias("leader")).where("parts > 1")
+
+
 def similar_pairs(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """(a, b): links between documents with different sets, enough of them to connect what is linked."""
-    reps = sets.where("n_shingles > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"))
-    reps = stored(reps)
-    own = sets.join(reps, (sets["signature"] == reps["signature"]) & (sets["doc_id"] == reps["rep"]), "left_semi")
-    every = own.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("token"))
-    counts = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    sizes = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"))
-    posts = stored(every.join(counts, "token").join(sizes, "rep"))
-
-    # groups: by the commonest shared token, split by a hash where it has many documents
-    keys = posts.groupBy("rep").agg(F.max(F.struct("c", "token")).alias("k")).select("rep", F.col("k.token").alias("key"))
-    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / group).alias("parts"))
-    groups = stored(keys.join(sizes, "key").select("rep", F.xxhash64("key", F.pmod(F.xxhash64("rep"), "parts")).alias("gid")))
-    placed = stored(posts.join(groups, "rep").select("rep", "n", "token", "gid"))
-
-    # the matrix; groups, and members within their group, that share too few tokens for any link are not opened
-    matrix = stored(placed.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("k")))
+    reps = stored(sets.where("n_shingles > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep")))
+    own = sets.join(bounded(reps.select(F.col("signature").alias("s"), "rep")), (F.col("signature") == F.col("s")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    every = own.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    posts = stored(every.repartition("token").withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"))
     enough = lambda n: 1 + F.floor(n / SHARED_PART)  # noqa: E731  see least_shared
-    a, b = matrix.alias("a"), matrix.alias("b")
-    sized = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-    met = a.join(b, "token").where((F.col("a.gid") < F.col("b.gid")) & sized).groupBy(F.col("a.gid").alias("g"), F.col("b.gid").alias("h"))
-    pairs = stored(met.agg(F.count("*").alias("shared"), F.min(F.least("a.low", "b.low")).alias("low")).where(F.col("shared") >= enough(F.col("low"))).select("g", "h"))
-    own_token = matrix.where("k > 1").select("token", "gid")
-    far_token = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    counted = lambda rows: rows.groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough(F.col("n") * percent / 100)).select("rep", "gid")
-    inside = counted(placed.join(own_token, ["token", "gid"])).withColumns({"inside": F.lit(True), "across": F.lit(False)})
-    across = counted(placed.join(far_token, "token")).join(pairs.select(F.explode(F.array("g", "h")).alias("gid")).distinct(), "gid", "left_semi").select("rep", "gid", F.lit(False).alias("inside"), F.lit(True).alias("across"))
-    needed = inside.unionByName(across).groupBy("rep", "gid").agg(F.max("inside").alias("inside"), F.max("across").alias("across"))
-    needed = stored(needed.join(reps, "rep"))
+    able = lambda shared: shared >= enough(F.col("n") * percent / 100)
+
+    # groups: by the commonest shared token, split by a hash where it has much; its least document joins every part
+    keys = stored(posts.groupBy("rep").agg(F.max(F.struct("c", "token")).alias("k"), F.max("n").alias("n")).select("rep", "n", F.col("k.token").alias("key")))
+    large = stored(_parts(keys, "key", group))
+    gid = lambda part: F.xxhash64("key", part).alias("gid")
+    placed = keys.join(bounded(large), "key", "left").select("rep", "n", gid(F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))))
+    groups = stored(placed)
+    leaders = large.select("key", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("rep", gid(F.col("part").cast("bigint")))
+    seats = groups.select("rep", "gid").unionByName(leaders).distinct()
+    tokens_of = posts.select("rep", "n", "token").join(seats, "rep")
+    seated = stored(tokens_of)
+    met_inside = seated.groupBy("token", "gid").agg(F.count("*").alias("k")).where("k > 1").select("token", "gid")
+    inside = seated.join(met_inside, ["token", "gid"]).groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid")
+    needed = stored(inside.join(reps, "rep"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
                 sets = [shingles(t, size).tobytes() for t in part["text"].to_pylist()]
                 own = [_signature(x) == y for x, y in zip(sets, part["signature"].to_pylist(), strict=True)]  # rows may repeat a doc_id
-                yield pa.RecordBatch.from_arrays([part["gid"], part["rep"], part["inside"], part["across"], pa.array(sets, pa.binary())], ["gid", "rep", "inside", "across", "tokens"]).filter(pa.array(own, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part["gid"], part["rep"], pa.array(sets, pa.binary())], ["gid", "rep", "tokens"]).filter(pa.array(own, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(bounded(needed), "rep")
-    members = texts.select("gid", "rep", "inside", "across", "signature", "text").mapInArrow(tokens, "gid long, rep long, inside boolean, across boolean, tokens binary")
-    grouped = members.groupBy("gid").agg(F.collect_list(F.struct("rep", "inside", "across", "tokens")).alias("members"))  # about `group` members
+    def members(needed: DataFrame) -> DataFrame:
+        """gid, and the (rep, tokens) of its members; rows that repeat a document count once."""
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(bounded(needed), "rep").select("gid", "rep", "signature", "text")
+        found = texts.mapInArrow(tokens, "gid long, rep long, tokens binary")
+        return found.groupBy("gid").agg(F.collect_set(F.struct("rep", "tokens")).alias("members"))  # about `group` members
+
+    def opened(row: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+        rows = row.as_py()
+        return np.array([r["rep"] for r in rows], np.int64), [np.frombuffer(r["tokens"], np.uint64) for r in rows]
 
     def open_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links within each group; and the record of a group that meets others."""
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows = batch["members"][k].as_py()
-                side = lambda kind: (np.array([r["rep"] for r in rows if r[kind]], np.int64), [np.frombuffer(r["tokens"], np.uint64) for r in rows if r[kind]])  # noqa: B023, E731
-                ids, own = side("inside")
+            for row in batch["members"]:
+                ids, own = opened(row)
                 links = _spanning(_links(ids, own, ids, own, percent)) if len(own) > 1 else []
-                ids, own = side("across")
-                n, record = len(links), [_record(ids, own)] if own else []
-                gid = [None] * n + [batch["gid"][k].as_py()] * len(record)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links] + [None] * len(record), pa.int64()), pa.array([y for _, y in links] + [None] * len(record), pa.int64()), pa.array(gid, pa.int64()), pa.array([None] * n + record, pa.binary())], ["a", "b", "gid", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    first = stored(members(needed).mapInArrow(open_own, "a long, b long"))
+
+    # the matrix of what is not linked yet: a component is one group
+    roots = components(first).select(F.col("node").alias("rep"), "root")
+    held = roots.unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
+    block = stored(groups.join(held, "rep", "left").select("rep", "n", F.when(F.col("root").isNotNull(), F.xxhash64("root", F.lit("component"))).otherwise(F.col("gid")).alias("gid")))
+    seated = stored(posts.select("rep", "n", "token").join(block.select("rep", "gid"), "rep"))
+    matrix = seated.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    far = stored(matrix.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
+    a, b = far.alias("a"), far.alias("b")
+    sized = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
+    met = a.join(b, "token").where((F.col("a.gid") < F.col("b.gid")) & sized).groupBy(F.col("a.gid").alias("g"), F.col("b.gid").alias("h"))
+    pairs = stored(met.agg(F.count("*").alias("shared"), F.min(F.least("a.low", "b.low")).alias("low")).where(F.col("shared") >= enough(F.col("low"))).select("g", "h"))
+    # members that share enough with what other groups have, in blocks; a block is named by its group and a number
+    shared_token = far.select("token", "gid").join(pairs.select(F.explode(F.array("g", "h")).alias("gid")).distinct(), "gid", "left_semi")
+    across = seated.join(shared_token, ["token", "gid"]).groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid", "n")
+    across = stored(across)
+    split = across.join(bounded(_parts(across, "gid", group)), "gid", "left").select("rep", "gid", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).alias("part"))
+    owners = stored(split.select("rep", F.col("gid").alias("of"), F.xxhash64("gid", "part").alias("gid")))
+
+    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, row in zip(batch["gid"].to_pylist(), batch["members"], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([gid]), pa.array([_record(*opened(row))], pa.binary())], ["gid", "record"])
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
             for left, right in zip(batch["left"], batch["right"], strict=True):
-                links += _spanning(_links(*_members(left.as_py()), *_members(right.as_py()), percent))
-            links = _spanning(links)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+                links = _spanning(_links(*_members(left.as_py()), *_members(right.as_py()), percent))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
-    opened = stored(grouped.mapInArrow(open_own, "a long, b long, gid long, record binary"))
-    records = opened.where("gid is not null")
-    left, right = records.select(F.col("gid").alias("g"), F.col("record").alias("left")), records.select(F.col("gid").alias("h"), F.col("record").alias("right"))
+    wanted = stored(owners.select("rep", "gid").join(reps, "rep"))
+    records = members(wanted).mapInArrow(record, "gid long, record binary")
+    records = stored(records.join(owners.select("gid", "of").distinct(), "gid").select("of", "record"))
+    left, right = records.select(F.col("of").alias("g"), F.col("record").alias("left")), records.select(F.col("of").alias("h"), F.col("record").alias("right"))
     met = pairs.join(left, "g").join(right, "h").select("left", "right").mapInArrow(open_pairs, "a long, b long")
-    return stored(opened.where("gid is null").select("a", "b").unionByName(met))
+    return stored(first.unionByName(met))
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
@@ -298,5 +331,6 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, group:
 def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
     """The rows of docs, with all their columns, without documents whose component has a smaller doc_id."""
     found = classes(docs, **how)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_doc")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_doc"), "left_anti")
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
