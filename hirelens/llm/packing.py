@@ -1,11 +1,13 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of its documents' ids. A window is a fixed number of sequences and
-is filled with the target token proportions: each source's share of what is queued, so that
-all queues end together and no sequence but the last is short. What rounding leaves a
-source short in one window is its deficit, which the next window makes good: the tokens
-source j has given after k windows follow in closed form from the queue lengths
-(`given`), so that any task knows the deficits at any window without the windows before.
+is filled with the target token proportions: weights by source, or else each source's share
+of what is queued, so that all queues end together. A queue that runs dry leaves its part of
+the later windows to the others, by their weights, so that no sequence but the last is short.
+What rounding leaves a source short in one window is its deficit, which the next window makes
+good: deficits are carried in closed form. The tokens that a source has given after k windows
+follow from the queue lengths and weights alone (`Mixture.given`), so that any task knows the
+deficits at any window without the windows before.
 
 Encoding is one pass over the documents, without a shuffle of texts. A task writes its ids
 and its running position in each queue; the queue positions of whole tasks are sums over a
@@ -54,25 +56,55 @@ def given(m: np.ndarray, lengths: list[int]) -> np.ndarray:
     return np.array(out, np.int64).reshape(len(lengths), len(m))
 
 
-def window_of(queue: int, position: np.ndarray, lengths: list[int], window: int) -> np.ndarray:
+class Mixture:
+    """Queues with lengths and weights: phases between the moments at which queues run dry, each with what its queues give in it."""
+
+    def __init__(self, lengths: list[int], weights: list[float] | None = None):
+        self.total = sum(lengths)
+        weights = [float(n) for n in lengths] if weights is None else weights
+        if len(weights) != len(lengths) or any(w < 0 or (w == 0 and n) for w, n in zip(weights, lengths, strict=True)):
+            raise ValueError("every queue with tokens needs a positive weight")
+        # at time t of its course a queue has given weight * t tokens, until it is dry
+        dry = [n / w if n else 0.0 for n, w in zip(lengths, weights, strict=True)]
+        if weights == [float(n) for n in lengths]:
+            dry = [1.0 if n else 0.0 for n in lengths]
+        before, self.starts, self.befores, self.parts = [0] * len(lengths), [], [], []
+        for t in sorted({x for x in dry if x}):
+            after = [n if d <= t else max(b, min(n, int(w * t))) for n, w, d, b in zip(lengths, weights, dry, before, strict=True)]
+            self.starts.append(sum(before))
+            self.befores.append(before)
+            self.parts.append([a - b for a, b in zip(after, before, strict=True)])
+            before = after
+
+    def given(self, m: np.ndarray) -> np.ndarray:
+        """[queue, i]: tokens that each queue has given when all have given m[i] together."""
+        out = np.zeros((len(self.befores[0]) if self.befores else 0, len(m)), np.int64)
+        phase = np.searchsorted(self.starts, m, "right") - 1
+        for k in np.unique(phase).tolist():
+            own = phase == k
+            out[:, own] = np.array(self.befores[k], np.int64)[:, None] + given(m[own] - self.starts[k], self.parts[k])
+        return out
+
+
+def window_of(queue: int, position: np.ndarray, mix: Mixture, window: int) -> np.ndarray:
     """The window that takes the token at each position of a queue: the last with given(start) <= position."""
-    total = sum(lengths)
+    total = mix.total
     low, high = np.zeros(len(position), np.int64), np.full(len(position), -(-total // window), np.int64)
     while (high - low > 1).any():
         mid = (low + high) // 2
-        early = given(np.minimum(mid * window, total), lengths)[queue] <= position
+        early = mix.given(np.minimum(mid * window, total))[queue] <= position
         low, high = np.where(early, mid, low), np.where(early, high, mid)
     return low
 
 
-def pieces(queue: int, start: np.ndarray, n: np.ndarray, lengths: list[int], sequence: int, window: int) -> tuple[np.ndarray, ...]:
+def pieces(queue: int, start: np.ndarray, n: np.ndarray, mix: Mixture, sequence: int, window: int) -> tuple[np.ndarray, ...]:
     """(document row, first id in it, ids, sequence, offset) of the pieces of documents that lie at `start` in a queue."""
-    total = sum(lengths)
-    first, last = window_of(queue, start, lengths, window), window_of(queue, start + n - 1, lengths, window)
+    total = mix.total
+    first, last = window_of(queue, start, mix, window), window_of(queue, start + n - 1, mix, window)
     count = last - first + 1
     row = np.repeat(np.arange(len(start)), count)
     k = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    before, after = given(np.minimum(k * window, total), lengths), given(np.minimum((k + 1) * window, total), lengths)
+    before, after = mix.given(np.minimum(k * window, total)), mix.given(np.minimum((k + 1) * window, total))
     low, high = np.maximum(before[queue], start[row]), np.minimum(after[queue], (start + n)[row])
     slot = k * window + (after - before)[:queue].sum(axis=0) + low - before[queue]
     keep = high > low
@@ -105,12 +137,17 @@ def encode_documents(docs: DataFrame, end_id: int, path: str) -> DataFrame:
     return stored(narrow.mapInArrow(encode, "part int, source string, before long, doc_id long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of every piece."""
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None, target: dict[str | None, float] | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of every piece.
+
+    target: the share of each source in a window, as positive weights; sources that it doesn't name
+    share the weight under "*" (1 if there is none) by their tokens. Without it, the corpus's own shares.
+    """
     encoded = encode_documents(docs, end_id, path or vocabulary())
     sums = stored(encoded.groupBy("part", "source").agg(F.sum("n").alias("n")))
     largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES + 1).collect()
-    own = sorted((r["source"] for r in (largest if len(largest) <= QUEUES else largest[: QUEUES - 1])), key=lambda x: (x is not None, x))
+    named = set(target or ()) - {"*"}
+    own = sorted(named | {r["source"] for r in (largest if len(largest) <= QUEUES else largest[: QUEUES - 1])}, key=lambda x: (x is not None, x))
     numbers = F.broadcast(encoded.sparkSession.createDataFrame([(x, k) for k, x in enumerate(own)], "own string, number int"))
     queue = F.when(F.col("number").isNull(), F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int") + len(own)).otherwise(F.col("number"))
     queued = sums.join(numbers, F.col("source").eqNullSafe(F.col("own")), "left").select("part", "source", "n", queue.alias("queue"))
@@ -122,6 +159,12 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WIND
     bases = stored(placed.select("part", "source", "n", "queue", (F.col("share") + F.col("within")).alias("base")))
     totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most QUEUES - 1 + SHARED rows
     lengths = [totals.get(k, 0) for k in range(max(totals, default=-1) + 1)]
+    weights = None
+    if target is not None:
+        told = [target[own[k]] if k < len(own) and own[k] in named else None for k in range(len(lengths))]
+        rest = sum(n for n, w in zip(lengths, told, strict=True) if w is None)
+        weights = [w if w is not None else target.get("*", 1.0) * n / max(rest, 1) for n, w in zip(lengths, told, strict=True)]
+    mix = Mixture(lengths, weights)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +173,7 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WIND
             ids, docs_, names = batch["ids"], batch["doc_id"], batch["source"]
             for q in np.unique(queues).tolist():
                 own = np.flatnonzero(queues == q)
-                row, first, length, s, offset = pieces(q, start[own], n[own], lengths, sequence, sequence * window_sequences)
+                row, first, length, s, offset = pieces(q, start[own], n[own], mix, sequence, sequence * window_sequences)
                 row = own[row]
                 views = {r: memoryview(ids[r].as_buffer()) for r in own.tolist()}
                 crc = [zlib.crc32(views[r][4 * a : 4 * (a + k)]) for r, a, k in zip(row.tolist(), first.tolist(), length.tolist(), strict=True)]
