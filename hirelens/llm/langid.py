@@ -1,9 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed 1- to 3-grams of lower-cased whole texts by language, over every
-training row. The matrix of log-probabilities (2^bits buckets x languages, at most
-LANGUAGES of them) is broadcast, and batches are scored in numpy: the rows of the matrix
-at a document's bucket ids are summed, which is the product of a sparse count matrix with it.
+training row. The matrix of log-probabilities (2^bits buckets x languages) is broadcast, and
+batches are scored in numpy: the rows of the matrix at a document's bucket ids are summed,
+which is the product of a sparse count matrix with it. Of more than LANGUAGES languages the
+matrix comes in blocks of as many columns, one after the other, and each pass over the
+documents carries on the best language so far and the sum of all likelihoods.
 
 Cases: null text or text without a letter gives `und` with score 0; nothing learned gives
 `und` for all; a null language is not learned from; repeated rows count again; an empty
@@ -12,7 +14,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import char_blocks, held_out, ngram_hashes
+from hirelens.llm.common import char_blocks, held_out, ngram_hashes, stored
 
 ORDERS, BITS, LANGUAGES = (1, 2, 3), 15, 512
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
@@ -55,26 +55,30 @@ def ngram_counts(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int =
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log-prior of each, log-probabilities [bucket, language])."""
-    counts = ngram_counts(train, bits=bits)
-    names = [r["lang"] for r in counts.where("bucket = -1").select("lang").limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    names.sort()
-    if not names:
-        return [], np.empty(0, np.float32), np.empty((0, 0), np.float32)
-    table = counts.toArrow()  # at most (2^bits + 1) rows a language
-    grid = np.zeros((len(names), (1 << bits) + 1))
-    grid[np.searchsorted(names, np.array(table["lang"].to_pylist())), np.array(table["bucket"])] = np.array(table["n"])
-    docs, grams = grid[:, -1], grid[:, :-1] + 0.5
-    logs = np.log(grams / grams.sum(axis=1, keepdims=True))
-    return names, np.log(docs / docs.sum()).astype(np.float32), np.ascontiguousarray(logs.T.astype(np.float32))
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (posterior probability of lang_pred)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+Model = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def fit(train: DataFrame, bits: int = BITS, languages: int = LANGUAGES) -> Iterator[Model]:
+    """Blocks of (languages, log-prior of each, log-probabilities [bucket, language]); one empty block if nothing is learned."""
+    counts = stored(ngram_counts(train, bits=bits))
+    known = counts.where("bucket = -1").orderBy("lang").toArrow()  # a row a language
+    names, docs = known["lang"].to_pylist(), np.array(known["n"], np.float64)
+    for low in range(0, max(len(names), 1), languages):
+        own = names[low : low + languages]
+        block = counts.where(F.col("lang").between(own[0], own[-1]) & (F.col("bucket") >= 0)).toArrow() if own else None  # at most 2^bits rows a language
+        grams = np.full((len(own), 1 << bits), 0.5)
+        if own:
+            place = {name: k for k, name in enumerate(own)}
+            grams[np.array([place[x] for x in block["lang"].to_pylist()], np.int64), np.array(block["bucket"], np.int64)] += np.array(block["n"])
+        logs = np.log(grams / grams.sum(axis=1, keepdims=True))
+        prior = np.log(docs[low : low + len(own)] / docs.sum()) if own else np.empty(0)
+        yield own, prior.astype(np.float32), np.ascontiguousarray(logs.T.astype(np.float32))
+
+
+def _carry_on(rows: DataFrame, model: Model, orders: tuple[int, ...], bits: int, more: bool) -> DataFrame:
+    """doc_id, held_out, letter, best, top, total after one more block: the best language, its log-likelihood, and the log of all likelihoods' sum; and text if more blocks follow."""
+    columns = ["doc_id", "held_out", "letter", "best", "top", "total"] + ["text"] * more
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     longest = max(orders)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,24 +87,38 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], or
             for low in range(0, batch.num_rows, 2048):
                 part = batch.slice(low, 2048)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                best, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+                best, top, total = part["best"].to_pylist(), np.array(part["top"]), np.array(part["total"])
                 if names:
-                    total = np.tile(prior.astype(np.float64), (len(texts), 1))
+                    sums = np.tile(prior.astype(np.float64), (len(texts), 1))
                     for codes, owner in char_blocks([t.lower() for t in texts], longest):
                         for n in orders:
                             h, who = ngram_hashes(codes, owner, n, longest, bits)
                             if len(h):
                                 starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                                np.add.at(total, who[starts], np.add.reduceat(logs[h], starts, axis=0, dtype=np.float64))
-                    best = total.argmax(axis=1)
-                    top = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                known = np.array([bool(names) and _LETTER.search(t) is not None for t in texts], bool)
-                pred = [names[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(pred), pa.array(np.where(known, top, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+                                np.add.at(sums, who[starts], np.add.reduceat(logs[h], starts, axis=0, dtype=np.float64))
+                    own = sums.argmax(axis=1)
+                    most = sums.max(axis=1)
+                    total = np.logaddexp(total, most + np.log(np.exp(sums - most[:, None]).sum(axis=1)))
+                    best = [names[k] if m > t else b for k, m, t, b in zip(own.tolist(), most.tolist(), top.tolist(), best, strict=True)]
+                    top = np.maximum(top, most)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], part["letter"], pa.array(best, pa.string()), pa.array(top), pa.array(total)] + [part["text"]] * more, columns)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return narrow.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, letter boolean, best string, top double, total double" + ", text string" * more)
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    return predict(docs, fit(docs.where(~held_out())))
+def predict(docs: DataFrame, models: Iterator[Model], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (posterior probability of lang_pred)."""
+    least = F.lit(float("-inf"))
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), letter, F.lit(None).cast("string").alias("best"), least.alias("top"), least.alias("total"), "text")
+    model = next(models)
+    while model is not None:
+        after = next(models, None)
+        rows = _carry_on(rows, model, orders, bits, after is not None)
+        rows, model = rows if after is None else stored(rows), after
+    known = F.col("best").isNotNull() & F.col("letter")
+    return rows.select("doc_id", "held_out", F.when(known, F.col("best")).otherwise("und").alias("lang_pred"), F.when(known, F.exp(F.col("top") - F.col("total"))).otherwise(0.0).alias("score"))
+
+
+def identify(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
+    return predict(docs, fit(docs.where(~held_out()), languages=languages))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from hirelens.llm.common import BLANKS, stored
 
-COMMON, LANGUAGES, WINDOW = 32, 512, 8
+COMMON, WINDOW = 32, 8
+#: References of up to so many languages are broadcast; more are joined by a shuffle.
+LANGUAGES = 512
 LEAST_WORDS, MOST_DISTANCE = 50, 0.34
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("upper", "digit", "mark", "symbol", "blank", "other")
@@ -88,25 +90,24 @@ def spread_words(docs: DataFrame) -> DataFrame:
     return rows.where("word <> ''")
 
 
-def references(docs: DataFrame, rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, q) of the most common words with a marker row a language, and (lang, shares); at most LANGUAGES of them."""
+def references(docs: DataFrame, rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(lang, word, q) of the most common words with a marker row a language; (lang, shares); how to join what has some rows a language."""
     known = rows.where(F.col("lang").isNotNull())
     counts = spread_words(docs).where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))]
     total = stored(known.groupBy("lang").agg(F.sum("n_words").alias("all"), *sums))
-    if total.limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    small = F.broadcast if total.limit(LANGUAGES + 1).count() <= LANGUAGES else lambda df: df
     shares = total.select("lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))])).alias("shares"))
-    words = best.join(F.broadcast(total), "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("q"))
-    return stored(words.unionByName(total.select("lang", F.lit("").alias("word"), F.lit(0.0).alias("q")))), shares
+    words = best.join(small(total), "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("q"))
+    return stored(words.unionByName(total.select("lang", F.lit("").alias("word"), F.lit(0.0).alias("q")))), shares, small
 
 
 def judge(docs: DataFrame, common: int = COMMON, least_words: int = LEAST_WORDS, most: float = MOST_DISTANCE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, distance."""
     rows = stored(base_rules(docs))
-    words, shares = references(docs, rows, common)
-    words = F.broadcast(words)  # at most LANGUAGES * (common + 1) rows
+    words, shares, small = references(docs, rows, common)
+    words = small(words)  # common + 1 rows a language
     # counts of common words by document; the empty word, once a row, counts the row's copies
     spread = spread_words(docs).select("doc_id", "text_key", "word").join(words.select("word").distinct(), "word", "left_semi")
     counts = spread.groupBy("doc_id", "text_key", "word").agg(F.count("*").alias("n"))
@@ -123,7 +124,7 @@ def judge(docs: DataFrame, common: int = COMMON, least_words: int = LEAST_WORDS,
     add = lambda f: F.aggregate("bins", F.lit(0.0), lambda a, b: a + f(b))
     rest_p, rest_q = F.greatest(1 - add(p), F.lit(0.0)), F.greatest(1 - F.col("mass"), F.lit(0.0))
     word_part = add(lambda b: _divergence(p(b), b["q"]) - b["q"] / 2) + F.col("mass") / 2
-    nearby = by_lang.join(F.broadcast(mass), "lang").join(F.broadcast(shares), "lang").select("doc_id", "text_key", "lang", "shares", (word_part + _divergence(rest_p, rest_q)).alias("word_part"))
+    nearby = by_lang.join(small(mass), "lang").join(small(shares), "lang").select("doc_id", "text_key", "lang", "shares", (word_part + _divergence(rest_p, rest_q)).alias("word_part"))
     found = nearby.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_list(F.struct("lang", "shares", "word_part")).alias("near"))
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
     own = _shares(F.col("classes"))
