@@ -8,6 +8,8 @@ payload, its id, type and reference are read from the stored header, and a heade
 malformed or does not fit its payload fails. Of records with equal payloads of at least `least` bytes the one with the
 largest page_id is the response and the others are revisits that refer to it.
 
+Line ends in a url are written as %0D and %0A, so that no url adds header lines.
+
 Cases: null html is an empty payload; a null page_id is archived as it is; rows that repeat
 a page_id give a record each, and those that hold the largest id of their group are all
 responses; an empty table gives an empty archive; other columns are ignored.
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from hirelens.llm.common import stored
 
 LEAST = 1000
+#: Pages have no time of their own; an archive takes this one if none is given.
+DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: How a header starts.
 HEADER = r"^WARC/1\.1\r\nWARC-Type: (?:response|revisit)\r\nWARC-Record-ID: "
 
@@ -33,7 +38,7 @@ class Archive:
     payloads: DataFrame
 
 
-def write_archive(pages: DataFrame, least: int = LEAST) -> Archive:
+def write_archive(pages: DataFrame, least: int = LEAST, date: str = DATE) -> Archive:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     digests = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
@@ -45,7 +50,9 @@ def write_archive(pages: DataFrame, least: int = LEAST) -> Archive:
     header = F.concat(
         F.lit("WARC/1.1"), end, F.lit("WARC-Type: "), kind, end,
         F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"), end,
-        F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), end,
+        F.lit("WARC-Target-URI: "), F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), end,
+        F.lit(f"WARC-Date: {date}"), end, F.lit("Content-Type: text/html"), end,
+        F.when(F.col("revisit"), F.concat(F.lit(f"WARC-Profile: {PROFILE}"), end)).otherwise(F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), end,
         F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"), end)).otherwise(F.lit("")),
         F.lit("Content-Length: "), F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"), end, end,
