@@ -33,7 +33,7 @@ def f1_text_functions(spark, d):
     )
 
 
-@query("select o_orderkey id, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M') when 1 then strftime(o_orderdate - interval 8 hour, '%Y-%m-%d %H:%M') end parsed, strftime(epoch_ms(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S') from_epoch, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') week from orders", model=False)
+@query("select o_orderkey id, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%d %H:%M') when 1 then strftime(o_orderdate - interval 8 hour, '%Y-%m-%d %H:%M') end parsed, strftime(epoch_ms(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S') from_epoch, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') as week from orders", model=False)
 def f3_time_functions(spark, d):
     """F3 parse_iso_datetime, F4 epoch_ms, F23 iso_week_start."""
     o, k = A.read(spark, d, "orders"), F.col("o_orderkey")
@@ -331,7 +331,7 @@ def i17_ingest(spark, d):
 
 _BEST = """ , best as (select x, y, max({'score': score, 'type': kind, 'reason': 'same normalized company, title, location, and ' || why || ' across distinct sources'}) m from (
   select *, case when n >= 2 then 'structured_fields' else 'structured_fields_salary' end kind, case when n >= 2 and sal then 0.9 when n >= 2 then 0.88 when n = 1 and sal then 0.86 end score,
-    array_to_string(list_filter([case when r then 'matching responsibilities' end, case when q then 'matching required competencies' end, case when sal then 'matching salary range' end, case when r and q then 'matching normalized description' end], z -> z is not null), '; ') why
+    concat_ws('; ', case when r then 'matching responsibilities' end, case when q then 'matching required competencies' end, case when sal then 'matching salary range' end, case when r and q then 'matching normalized description' end) why
   from (select x, y, a.resp = b.resp r, a.req = b.req q, (a.resp = b.resp)::int + (a.req = b.req)::int n,
     (a.salary_min is not null or a.salary_max is not null) and (b.salary_min is not null or b.salary_max is not null) and a.salary_min is not distinct from b.salary_min and a.salary_max is not distinct from b.salary_max and a.salary_currency = b.salary_currency and (a.salary_interval is null or b.salary_interval is null or lower(a.salary_interval) = lower(b.salary_interval)) sal
     from cand join listings a on a.job_id = x join listings b on b.job_id = y and a.source <> b.source where not hs)) where score is not null group by 1, 2)
@@ -393,7 +393,7 @@ def o9_snapshot_report(spark, d):
 @query(_WEEKS + """select 'skill_demand' part, strftime(week, '%Y-%m-%d') as key, cast(job_count as double) as value from lagged where skill = 'skill_7'
   union all select 'posting_velocity', strftime(week, '%Y-%m-%d'), (select count(*) from jobs where cast(date_trunc('week', first_seen_at) as date) = week)::double from spine
   union all select 'time_to_close', count(*)::varchar, round(quantile_cont(epoch(closed_at - first_seen_at) / 86400, 0.5), 4) from jobs where closed_at is not null
-  union all select 'role_families', fid, count(*)::double from open_jobs group by 2""")
+  union all select 'role_families', fid, n::double from (select fid, any_value(flabel) fl, count(*) n, (select count(*) from facts f where f.fid = j.fid) m from open_jobs j group by 1 order by fid = 'other', n desc, m desc, fl limit 10)""")
 def o10_trend_report(spark, d):
     out = overview.trend_report(A.tables(spark, d), AS_OF, WEEKS, "skill_7")
     out["skill_demand"], out["posting_velocity"] = (out[c].withColumn("week", day("week")) for c in ("skill_demand", "posting_velocity"))
@@ -402,7 +402,7 @@ def o10_trend_report(spark, d):
 
 
 @query("""select 'summary' part, count(*)::varchar as key, count(distinct company)::double as value from facts
-  union all select 'companies', company, n::double from (select company, count(*) n from facts group by 1 order by company = 'UNKNOWN', 2 desc, 1 limit 10)
+  union all select 'companies', company, n::double from (select company, count(*) n, count(*) filter (first_seen_at >= timestamp '2001-08-01' - interval 7 day) w, count(distinct flabel) l from facts group by 1 order by company = 'UNKNOWN', 2 desc, 3 desc, 4 desc, 1 limit 10)
   union all select 'breadth', company, n::double from (select company, count(distinct fid) n, count(*) m from facts group by 1 order by company = 'UNKNOWN', 2 desc, 3 desc, 1 limit 10)""")
 def o11_demand_report(spark, d):
     return _bundle(overview.demand_report(A.tables(spark, d), AS_OF), summary=("active_listings", "companies"), companies=("company", "active"), breadth=("company", "families"))
