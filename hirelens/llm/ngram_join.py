@@ -246,11 +246,10 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent
     placed = keys.join(bounded(large), "key", "left").select("rep", "n", gid(F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))))
     groups = stored(placed)
     leaders = large.select("key", F.col("leader").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("rep", gid(F.col("part").cast("bigint")))
-    seats = groups.select("rep", "gid").unionByName(leaders).distinct()
-    tokens_of = posts.select("rep", "n", "token").join(seats, "rep")
-    seated = stored(tokens_of)
-    met_inside = seated.groupBy("token", "gid").agg(F.count("*").alias("k")).where("k > 1").select("token", "gid")
-    inside = seated.join(met_inside, ["token", "gid"]).groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid")
+    seats = stored(groups.select("rep", "gid").unionByName(leaders).distinct())
+    met_inside = F.count("*").over(Window.partitionBy("token", "gid"))
+    seated = posts.select("rep", "n", "token").join(bounded(seats), "rep").withColumn("k", met_inside).where("k > 1")
+    inside = seated.groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid")
     needed = stored(inside.join(reps, "rep"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,16 +283,17 @@ def similar_pairs(docs: DataFrame, sets: DataFrame, size: int = SHINGLE, percent
     roots = components(first).select(F.col("node").alias("rep"), "root")
     held = roots.unionByName(roots.select(F.col("root").alias("rep"), "root").distinct())
     block = stored(groups.join(held, "rep", "left").select("rep", "n", F.when(F.col("root").isNotNull(), F.xxhash64("root", F.lit("component"))).otherwise(F.col("gid")).alias("gid")))
-    seated = stored(posts.select("rep", "n", "token").join(block.select("rep", "gid"), "rep"))
-    matrix = seated.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    far = stored(matrix.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
+    over = Window.partitionBy("token")
+    seated = posts.select("rep", "n", "token").join(bounded(block.select("rep", "gid")), "rep").withColumn("far", F.min("gid").over(over) < F.max("gid").over(over))
+    seated = stored(seated.where("far").drop("far"))
+    far = stored(seated.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high")))
     a, b = far.alias("a"), far.alias("b")
     sized = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
     met = a.join(b, "token").where((F.col("a.gid") < F.col("b.gid")) & sized).groupBy(F.col("a.gid").alias("g"), F.col("b.gid").alias("h"))
     pairs = stored(met.agg(F.count("*").alias("shared"), F.min(F.least("a.low", "b.low")).alias("low")).where(F.col("shared") >= enough(F.col("low"))).select("g", "h"))
     # members that share enough with what other groups have, in blocks; a block is named by its group and a number
-    shared_token = far.select("token", "gid").join(pairs.select(F.explode(F.array("g", "h")).alias("gid")).distinct(), "gid", "left_semi")
-    across = seated.join(shared_token, ["token", "gid"]).groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid", "n")
+    met = stored(pairs.select(F.explode(F.array("g", "h")).alias("gid")).distinct())
+    across = seated.join(bounded(met), "gid", "left_semi").groupBy("rep", "gid", "n").agg(F.count("*").alias("shared")).where(able(F.col("shared"))).select("rep", "gid", "n")
     across = stored(across)
     split = across.join(bounded(_parts(across, "gid", group)), "gid", "left").select("rep", "gid", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).alias("part"))
     owners = stored(split.select("rep", F.col("gid").alias("of"), F.xxhash64("gid", "part").alias("gid")))
