@@ -104,6 +104,16 @@ def test_skill_matching(spark):
     assert not [1 for k, _ in found if k == "z"]
 
 
+def test_matches_of_many_aliases(spark, monkeypatch):
+    """A table too large to be broadcast gives the same rows; aliases without a letter or digit are found too."""
+    a = adapters.aliases(spark, [(1, 1, "SQL", False), (2, 1, "sql server", False), (3, 2, "数据", False), (4, 3, "Ñandú", False), (5, 4, "++", False), (6, 5, "ß", True)])
+    texts = spark.createDataFrame([("x", "SQL Server and ++ marks"), ("y", "处理 数据 with ñANDÚ"), ("z", "nothing"), ("n", None)], "key string, text string")
+    rows = lambda: sorted(map(tuple, matching.find_matches(texts, a).collect()))
+    few = rows()
+    monkeypatch.setattr(matching, "BROADCAST_ALIASES", 2)
+    assert rows() == few and [(r[0], r[1], r[2]) for r in few] == [("x", 1, 1), ("x", 4, 5), ("y", 2, 3), ("y", 3, 4)]
+
+
 def test_taxonomy_twice(spark):
     records = spark.createDataFrame([("SQL", "Data", "gov", "v1", None, "SQL", "literal", False, 1), ("SQL", None, "gov", None, None, "Structured", "literal", True, 2)], "skill_name string, category string, source_taxonomy string, taxonomy_version string, source_updated_at timestamp, alias string, match_type string, case_sensitive boolean, pos int")
     old = table(spark, "skills", [{"id": 5, "name": "sql", "normalized_name": "sql", "source_taxonomy": "local"}])
