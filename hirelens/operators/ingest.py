@@ -142,7 +142,7 @@ def ingestion_summary(targets: DataFrame, batch: DataFrame, job_skills: DataFram
 def ingest(t: Tables, aliases: DataFrame, candidates: DataFrame, batch: DataFrame, targets: DataFrame, now: datetime) -> dict[str, DataFrame]:
     """One run over all its targets: every table after it. t.jobs has job_key, t.listings has ingest_query.
 
-    What several tables are made from (the batch, listings, jobs) is persisted; clear the cache when all are written.
+    What is used more than once (the batch, listings, jobs, skills, candidates) is persisted; clear the cache when all are written.
     """
     rows = dedupe_batch(batch).persist()
     companies = upsert_companies(t.companies, rows)
@@ -152,9 +152,9 @@ def ingest(t: Tables, aliases: DataFrame, candidates: DataFrame, batch: DataFram
     observations = t.observations.unionByName(observations_of(rows, now)).unionByName(missed)
     jobs = close_jobs(reopen_jobs(jobs, listings, rows), listings, observations, missed, now).persist()
     touched = rows.select(F.xxhash64(job_key(F.col("canonical_url"))).alias("id"), "text_quality").join(jobs.select("id", "description_text"), "id").withColumnRenamed("id", "job_id")
-    job_skills = matching.upsert_job_skills(t.job_skills, matching.extract_job_skills(touched, aliases))
+    job_skills = matching.upsert_job_skills(t.job_skills, matching.extract_job_skills(touched, aliases)).persist()
     buckets = jobs.join(touched.select(F.col("job_id").alias("id")), "id", "left_semi").select("company_id", "normalized_title").distinct()
     pairs = dedupe.candidate_pairs(jobs.join(buckets, ["company_id", "normalized_title"], "left_semi"), listings)
-    new_candidates = dedupe.upsert_candidates(candidates, pairs, now)
+    new_candidates = dedupe.upsert_candidates(candidates, pairs, now).persist()
     summary = ingestion_summary(targets, rows, job_skills, new_candidates)
     return {"companies": companies, "jobs": jobs, "listings": listings, "observations": observations, "job_skills": job_skills, "candidates": new_candidates, "summary": summary}

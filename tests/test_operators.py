@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelens.operators import active, archive, dedupe, demand, ingest, matching, overview, roles_report, salary, skills, trends
@@ -131,7 +132,19 @@ def batch(spark, rows, run="r1"):
     return spark.createDataFrame([tuple(r.get(c) for c in names) for r in filled], schema)
 
 
-def test_ingest_life_of_a_posting(spark):
+@pytest.fixture
+def light(spark):
+    """A few rows in many joins: one partition, no re-planning, no compilation."""
+    own = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_ingest_life_of_a_posting(spark, light):
     t = model(spark, [], [], companies=())
     t = t.with_(jobs=t.jobs.withColumn("job_key", F.lit(None).cast("string")), listings=t.listings.withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")), observations=t.observations.withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")))
     aliases, candidates = adapters.aliases(spark, [(1, 1, "SQL", False)]), table(spark, "duplicate_job_candidates", [])
@@ -143,6 +156,7 @@ def test_ingest_life_of_a_posting(spark):
         errors = spark.createDataFrame([(f"r{k}", "adzuna", "data", None)], "run_id string, source string, ingest_query string, error string")
         out = ingest.ingest(t, aliases, candidates, batch(spark, rows, f"r{k}"), errors, at)
         out = {n: spark.createDataFrame(df.collect(), df.schema) for n, df in out.items()}
+        spark.catalog.clearCache()
         t = t.with_(companies=out["companies"], jobs=out["jobs"], listings=out["listings"], observations=out["observations"], job_skills=out["job_skills"])
         candidates = out["candidates"]
         states.append(out["jobs"].first()["closed_at"])
