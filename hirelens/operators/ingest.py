@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hirelens.functions.text import normalize_text
 from hirelens.operators import dedupe, matching
 from hirelens.schemas import Tables
+from hirelens.sources.shared import kept
 
 QUERY_SOURCES = ("adzuna", "careers_gov", "jobstreet")
 MISSES_TO_CLOSE = 3
@@ -142,19 +143,19 @@ def ingestion_summary(targets: DataFrame, batch: DataFrame, job_skills: DataFram
 def ingest(t: Tables, aliases: DataFrame, candidates: DataFrame, batch: DataFrame, targets: DataFrame, now: datetime) -> dict[str, DataFrame]:
     """One run over all its targets: every table after it. t.jobs has job_key, t.listings has ingest_query.
 
-    What is used more than once (the batch, listings, jobs, skills, candidates) is persisted; clear the cache when all are written.
+    What is used more than once (the batch, listings, jobs, skills, candidates) is written to the shared folder, so nothing is left in the cache.
     """
-    rows = dedupe_batch(batch).persist()
+    rows = kept(dedupe_batch(batch))
     companies = upsert_companies(t.companies, rows)
     jobs = upsert_jobs(t.jobs, rows, companies, now)
-    listings = upsert_listings(t.listings, rows, now).persist()
+    listings = kept(upsert_listings(t.listings, rows, now))
     missed = missing_listings(listings, rows, targets, now)
     observations = t.observations.unionByName(observations_of(rows, now)).unionByName(missed)
-    jobs = close_jobs(reopen_jobs(jobs, listings, rows), listings, observations, missed, now).persist()
+    jobs = kept(close_jobs(reopen_jobs(jobs, listings, rows), listings, observations, missed, now))
     touched = rows.select(F.xxhash64(job_key(F.col("canonical_url"))).alias("id"), "text_quality").join(jobs.select("id", "description_text"), "id").withColumnRenamed("id", "job_id")
-    job_skills = matching.upsert_job_skills(t.job_skills, matching.extract_job_skills(touched, aliases)).persist()
+    job_skills = kept(matching.upsert_job_skills(t.job_skills, matching.extract_job_skills(touched, aliases)))
     buckets = jobs.join(touched.select(F.col("job_id").alias("id")), "id", "left_semi").select("company_id", "normalized_title").distinct()
     pairs = dedupe.candidate_pairs(jobs.join(buckets, ["company_id", "normalized_title"], "left_semi"), listings)
-    new_candidates = dedupe.upsert_candidates(candidates, pairs, now).persist()
+    new_candidates = kept(dedupe.upsert_candidates(candidates, pairs, now))
     summary = ingestion_summary(targets, rows, job_skills, new_candidates)
     return {"companies": companies, "jobs": jobs, "listings": listings, "observations": observations, "job_skills": job_skills, "candidates": new_candidates, "summary": summary}

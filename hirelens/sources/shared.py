@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Lets DataFrame.checkpoint() work where no folder for it was set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_base(spark))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read again: worked out once, whatever reads it, and not lost with an executor."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

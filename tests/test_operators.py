@@ -144,7 +144,10 @@ def light(spark):
         spark.conf.set(k, v)
 
 
-def test_ingest_life_of_a_posting(spark, light):
+@pytest.mark.parametrize("adaptive", ["false", "true"])
+def test_ingest_life_of_a_posting(spark, light, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "1" if adaptive == "false" else "2")
     t = model(spark, [], [], companies=())
     t = t.with_(jobs=t.jobs.withColumn("job_key", F.lit(None).cast("string")), listings=t.listings.withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")), observations=t.observations.withColumn("ingestion_run_id", F.col("ingestion_run_id").cast("string")))
     aliases, candidates = adapters.aliases(spark, [(1, 1, "SQL", False)]), table(spark, "duplicate_job_candidates", [])
@@ -156,7 +159,6 @@ def test_ingest_life_of_a_posting(spark, light):
         errors = spark.createDataFrame([(f"r{k}", "adzuna", "data", None)], "run_id string, source string, ingest_query string, error string")
         out = ingest.ingest(t, aliases, candidates, batch(spark, rows, f"r{k}"), errors, at)
         out = {n: spark.createDataFrame(df.collect(), df.schema) for n, df in out.items()}
-        spark.catalog.clearCache()
         t = t.with_(companies=out["companies"], jobs=out["jobs"], listings=out["listings"], observations=out["observations"], job_skills=out["job_skills"])
         candidates = out["candidates"]
         states.append(out["jobs"].first()["closed_at"])
