@@ -33,7 +33,7 @@ from hirelens.llm.vectors import copied, group_of, packed, product, totals
 SEGMENTS, LADDER = 16, (1, 4)
 SUMMARY = ", means binary, deviations binary"
 ASK = "anchor_id long, label long, dims int, vector binary"
-LEAST = -(1 << 63)
+EVERY = (-(1 << 63), (1 << 63) - 1)
 
 
 def edges(dims: int, segments: int) -> np.ndarray:
@@ -75,22 +75,19 @@ class Summaries:
         return middle - wide, middle + wide
 
 
-def best(sums: Summaries, asks: Summaries, k: int, rows: np.ndarray, exact, wanted: int, low: int = LEAST, high: int = -LEAST - 1) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and exact scores that can be among the `wanted` best of those scored low to high."""
+def best(sums: Summaries, asks: Summaries, k: int, rows: np.ndarray, exact, wanted: int, bands: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and exact scores of all that can be among the `wanted` best of a band (least, most) of scores."""
     for level in range(len(sums.levels)):
         if len(rows) <= wanted:
             break
         lower, upper = sums.bounds(level, asks, k, rows)
-        sure = lower[(upper <= high) & (lower >= low)]
-        floor = max(low, np.partition(sure, len(sure) - wanted)[len(sure) - wanted]) if len(sure) >= wanted else low
-        rows = rows[(upper >= floor) & (lower <= high)]
-    scores = exact(k, rows)
-    within = (scores >= low) & (scores <= high)
-    return rows[within], scores[within]
-
-
-def _first(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, wanted: int) -> np.ndarray:
-    return np.lexsort((ids[rows], -scores))[:wanted]
+        open_ = np.zeros(len(rows), bool)
+        for low, high in bands:
+            sure = lower[(upper <= high) & (lower >= low)]
+            floor = max(low, np.partition(sure, len(sure) - wanted)[len(sure) - wanted]) if len(sure) >= wanted else low
+            open_ |= (upper >= floor) & (lower <= high)
+        rows = rows[open_]
+    return rows, exact(k, rows)
 
 
 class Cell:
@@ -111,24 +108,30 @@ class Cell:
     def exact(self, k: int, rows: np.ndarray) -> np.ndarray:
         return product(self.x[rows].astype(np.int64), self.q[k : k + 1])[:, 0]
 
-    def best(self, k: int, rows: np.ndarray, wanted: int, low: int = LEAST, high: int = -LEAST - 1) -> tuple[np.ndarray, np.ndarray]:
-        if self.dims:
-            return best(self.sums, self.asks, k, rows, self.exact, wanted, low, high)
-        return (rows, np.zeros(len(rows), np.int64)) if low <= 0 <= high else (rows[:0], rows[:0])
+    def best(self, k: int, rows: np.ndarray, wanted: int, bands: list[tuple[int, int]] = [EVERY]) -> Iterator[tuple[np.ndarray, np.ndarray]]:  # noqa: B006  never changed
+        """(ids, scores) of the `wanted` best rows in each band, best first."""
+        rows, scores = best(self.sums, self.asks, k, rows, self.exact, wanted, bands) if self.dims else (rows, np.zeros(len(rows), np.int64))
+        for low, high in bands:
+            own = np.flatnonzero((scores >= low) & (scores <= high))
+            own = own[np.lexsort((self.ids[rows[own]], -scores[own]))[:wanted]]
+            yield self.ids[rows[own]], scores[own]
+
+
+def _table(out: list[dict], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([np.zeros(0, np.int64), *(x[c] for x in out)]) for c in columns})
 
 
 def _positives(wanted: int):
     def cell(key: tuple, asks: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[dict] = []
         if len(asks) and len(blocks):
             c = Cell(asks, blocks, int(key[0]))
             by_label = {v: np.flatnonzero(c.labels == v) for v in asks.label.unique()}
             for k, (own, label) in enumerate(zip(asks.anchor_id, asks.label, strict=True)):
                 rows = by_label[label]
-                rows, scores = c.best(k, rows[c.ids[rows] != own], wanted)
-                top = _first(rows, scores, c.ids, wanted)
-                out.append(pd.DataFrame({"anchor_id": own, "positive_id": c.ids[rows[top]], "positive_score": scores[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"anchor_id": [], "positive_id": [], "positive_score": []}, dtype="int64")
+                for ids, scores in c.best(k, rows[c.ids[rows] != own], wanted):
+                    out.append({"anchor_id": np.full(len(ids), own), "positive_id": ids, "positive_score": scores})
+        return _table(out, ["anchor_id", "positive_id", "positive_score"])
 
     return cell
 
@@ -140,19 +143,16 @@ def _band(score: int, low: int, high: int) -> tuple[int, int]:
 
 def _negatives(wanted: int, low: int, high: int):
     def cell(key: tuple, asks: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
+        out: list[dict] = []
         if len(asks) and len(blocks):
             c = Cell(asks, blocks, int(key[0]))
             other = {v: np.flatnonzero(c.labels != v) for v in asks.label.unique()}
             for k, (own, label, scores) in enumerate(zip(asks.anchor_id, asks.label, asks.scores, strict=True)):
-                for score in dict.fromkeys(map(int, scores)):
-                    least, most = _band(score, low, high)
-                    if least > most:
-                        continue
-                    rows, found = c.best(k, other[label], wanted, least, most)
-                    top = _first(rows, found, c.ids, wanted)
-                    out.append(pd.DataFrame({"anchor_id": own, "positive_score": score, "negative_id": c.ids[rows[top]], "negative_score": found[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"anchor_id": [], "positive_score": [], "negative_id": [], "negative_score": []}, dtype="int64")
+                asked = {int(score): _band(int(score), low, high) for score in scores}
+                asked = {score: band for score, band in asked.items() if band[0] <= band[1]}
+                for score, (ids, found) in zip(asked, c.best(k, other[label], wanted, list(asked.values())) if asked else [], strict=True):
+                    out.append({"anchor_id": np.full(len(ids), own), "positive_score": np.full(len(ids), score), "negative_id": ids, "negative_score": found})
+        return _table(out, ["anchor_id", "positive_score", "negative_id", "negative_score"])
 
     return cell
 
