@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelens.functions.text import has_salary
 from hirelens.operators.active import UNKNOWN
+from hirelens.operators.ranks import exact_percentiles
 from hirelens.operators.skills import TITLE_KEYWORDS, keyword_array
 from hirelens.schemas import Tables
 
@@ -43,6 +44,14 @@ def salary_by(facts: DataFrame, segments: Column, limit: int | None = 10) -> Dat
     return ordered if limit is None else ordered.limit(limit)
 
 
+def salary_by_ranks(facts: DataFrame, segments: Column) -> DataFrame:
+    """salary_by without a limit, for segments of any size: quartiles by ranks in ranges of the values."""
+    rows = facts.where(F.col("annualized").isNotNull()).select("annualized", F.explode(segments).alias("segment")).groupBy("segment", "annualized").agg(F.count("*").alias("n"))
+    quartiles = exact_percentiles(rows, ["segment"], "annualized", {"p25": 0.25, "median": 0.5, "p75": 0.75}, "n")
+    means = rows.groupBy("segment").agg((F.sum(F.col("annualized") * F.col("n")) / F.sum("n")).alias("average"))
+    return quartiles.join(means, "segment").select("segment", F.col("count").alias("listing_count"), "average", "p25", "median", "p75")
+
+
 def salary_by_source(facts: DataFrame, limit: int | None = 10) -> DataFrame:
     return salary_by(facts, F.array("source"), limit)
 

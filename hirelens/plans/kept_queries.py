@@ -1,15 +1,19 @@
-"""Registered queries that keep results up to date run by run: streams, keyed state and bitmaps."""
+"""Registered queries that keep results up to date run by run, or read them from what is stored: streams, keyed state, bitmaps, merges, intervals, ranks, pages, postings."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hirelens.operators import bitmaps
+from hirelens.functions import text
+from hirelens.operators import active, bitmaps, ingest, intervals, matching, paging, ranks, salary, search
 from hirelens.plans import adapters as A
-from hirelens.plans.queries import _WEEKS, AS_OF, WEEKS, day, query
+from hirelens.plans import more_queries  # noqa: F401  its SQL is used again
+from hirelens.plans.queries import _WEEKS, AS_OF, ORACLE_SQL, WEEKS, _batch, _facts, day, query
+from hirelens.sources.merge import MergedTable
 from hirelens.sources.shared import kept, shared_dir
 from hirelens.streaming import lifecycle, observations
 
@@ -106,3 +110,121 @@ def t7_demand_from_bitmaps(spark, d):
         weekly = kept(new if weekly is None else bitmaps.merged(weekly, new, ["week"]))
     out = bitmaps.skill_demand(weekly, bitmaps.skill_bitmaps(t, numbers), t.skills.select(F.col("name").alias("skill")), AS_OF, WEEKS)
     return out.select("skill", day("week").alias("week"), "job_count", "previous", "delta", F.round("delta_percent", 6).alias("delta_percent"))
+
+
+# merges into stored tables: the batch comes twice, the second time nothing is written
+
+
+def _merged(spark: SparkSession, old: DataFrame, key: list[str], new: DataFrame, upsert) -> DataFrame:
+    table = MergedTable(spark, f"merged_{uuid.uuid4().hex}", key, parts=16, buckets=4)
+    table.create(old)
+    table.merge(new, upsert)
+    if table.merge(new, upsert):
+        raise ValueError("a repeated merge wrote something")
+    return table.read()
+
+
+@query(ORACLE_SQL["i2_upsert_companies"], model=False)
+def i2_merge_companies(spark, d):
+    """Companies as a stored table, merged by their normalised names."""
+    old = A.companies(spark, d).where("id % 3 = 0")
+    batch = _batch(spark, d).withColumn("normalized_name", text.normalize_text("company_name"))
+    return _merged(spark, old, ["normalized_name"], batch, lambda o, n: ingest.upsert_companies(o, n)).select("name", "industry")
+
+
+@query(ORACLE_SQL["i3_upsert_jobs"], model=False)
+def i3_merge_jobs(spark, d):
+    """Jobs as a stored table, merged by their keys."""
+    old = A.jobs(spark, d).where("id % 3 = 0").withColumn("job_key", F.concat(F.lit("url:"), "canonical_url"))
+    batch = _batch(spark, d).withColumn("job_key", ingest.job_key(F.col("canonical_url")))
+    out = _merged(spark, old, ["job_key"], batch, lambda o, n: ingest.upsert_jobs(o, n, A.companies(spark, d), AS_OF))
+    return out.select("canonical_url", "normalized_title", day("last_seen_at").alias("last_seen"), F.col("closed_at").isNull().alias("is_open"))
+
+
+@query(ORACLE_SQL["i4_upsert_listings"], model=False)
+def i4_merge_listings(spark, d):
+    """Listings as a stored table, merged by their identity."""
+    old = A.listings(spark, d).where("id % 10 in (1, 2)").withColumn("ingest_query", F.lit(None).cast("string")).withColumn("ingestion_run_id", F.lit(None).cast("string"))
+    out = _merged(spark, old, ingest.IDENTITY, _batch(spark, d), lambda o, n: ingest.upsert_listings(o, n, AS_OF))
+    return out.select(F.col("source_job_id").cast("long").alias("id"), "source", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), "salary_min")
+
+
+@query(ORACLE_SQL["i12_upsert_skills"], model=False)
+def i12_merge_skills(spark, d):
+    """Skills as a stored table, merged by normalised name and taxonomy."""
+    records = A.read(spark, d, "part").select(F.col("p_type").alias("skill_name"), F.col("p_brand").alias("category"), F.lit("parts").alias("source_taxonomy"), F.lit(None).cast("string").alias("taxonomy_version"), F.lit(None).cast("timestamp").alias("source_updated_at"), F.struct("p_brand", "p_partkey").alias("pos"))
+    old = A.skills(spark, d).withColumns({"taxonomy_version": F.lit(None).cast("string"), "source_updated_at": F.lit(None).cast("timestamp")})
+    out = _merged(spark, old, ["normalized_name", "source_taxonomy"], records.withColumn("normalized_name", text.normalize_text("skill_name")), matching.upsert_skills)
+    return out.select("normalized_name", "source_taxonomy", "category")
+
+
+# active sets of the past, percentiles by rank, pages by key, search by postings
+
+_TIMES = [AS_OF - timedelta(days=500 * k) for k in range(6)]
+_AT = "(values " + ", ".join(f"(timestamp '{t:%Y-%m-%d}')" for t in _TIMES) + ") x(t)"
+
+
+@query(f""", seen_at as (select t, lid, bool_or(act) act from (select t, lid, act, rank() over (partition by t, lid order by ts desc) r from obs join {_AT} on ts <= t) where r = 1 group by 1, 2)
+ select strftime(t, '%Y-%m-%d') as as_of, l.id, l.job_id, l.source from {_AT} cross join listings l join jobs j on j.id = l.job_id and (j.closed_at is null or j.closed_at > t)
+ left join seen_at on seen_at.lid = l.id and seen_at.t = x.t where coalesce(act, true)""".replace("select strftime(t,", "select strftime(x.t,").replace("j.closed_at > t)", "j.closed_at > x.t)"))
+def a2_active_at_times(spark, d):
+    """Active listings at six times in one pass over validity intervals, which two runs of the log have built."""
+    t = A.tables(spark, d)
+    log, middle = t.observations.select("source_listing_id", "observed_at", "is_active"), _TIMES[3]
+    spans = intervals.extended(kept(intervals.validity(log.where(F.col("observed_at") < F.lit(middle)))), log.where(F.col("observed_at") >= F.lit(middle)))
+    return intervals.active_at(t, kept(spans), _TIMES).select(day("as_of").alias("as_of"), "id", "job_id", "source")
+
+
+@query(ORACLE_SQL["f29_percentiles"], model=False)
+def f29_percentiles_by_rank(spark, d):
+    """Percentiles of every price by ranks in ranges."""
+    rows = A.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    out = ranks.exact_percentiles(rows, ["flag"], "l_extendedprice", {"p25": 0.25, "median": 0.5, "p90": 0.9})
+    return out.select("flag", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p90")])
+
+
+def _ranked_segments(facts: DataFrame, segments: Column) -> DataFrame:
+    return salary.salary_by_ranks(facts, segments).withColumns({c: F.round(c, 4) for c in ("average", "p25", "median", "p75")})
+
+
+@query(ORACLE_SQL["p4_salary_by_source"], model=False)
+def p4_salary_by_source_ranks(spark, d):
+    return _ranked_segments(_facts(spark, d)[1], F.array("source"))
+
+
+@query(ORACLE_SQL["p5_salary_by_company"], model=False)
+def p5_salary_by_company_ranks(spark, d):
+    return _ranked_segments(_facts(spark, d)[1], F.array("company"))
+
+
+_PAGED = "select id, title, coalesce((salary_min + salary_max) / 2, salary_min, salary_max) salary_midpoint, row_number() over (order by coalesce((salary_min + salary_max) / 2, salary_min, salary_max) desc nulls last, id) place from every"
+
+
+@query(_PAGED)
+def z1_pages_to_the_end(spark, d):
+    """All listings by salary, nulls last, as pages that each go on after the last row of the one before."""
+    t = A.tables(spark, d)
+    rows = kept(active.listing_view(t, t.listings).select("id", "title", "salary_midpoint"))
+    order, last, out = [("salary_midpoint", True), ("id", False)], None, []
+    size = -(-rows.count() // 5)
+    for n in range(5):
+        shown = kept(paging.page(rows, order, size, last))
+        last = paging.cursor(shown, order)
+        place = F.row_number().over(Window.orderBy(F.desc("salary_midpoint"), "id"))
+        out.append(shown.withColumn("place", (place + n * size).cast("long")))
+        if last is None:
+            break
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+@query(ORACLE_SQL["a3_search_listings"], model=False)
+def a3_search_by_postings(spark, d):
+    """The searches of a3 from a stored index of character runs."""
+    t = A.tables(spark, d)
+    view = kept(active.listing_view(t, t.listings))
+    index = search.build(view)
+    rows = lambda n, *how: index.search(view, *how).select("id", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), "role_family", F.lit(n).alias("hit"))
+    return rows(1, "lever", None, " NUMBER  2 of ").unionByName(rows(2, None, None, "Data Engineer"))

@@ -6,7 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from hirelens.operators import bitmaps
+from hirelens.operators import bitmaps, intervals, paging, ranks, search
+from hirelens.operators.active import search_listings
+from hirelens.schemas import Tables
+from hirelens.sources.merge import MergedTable
 from hirelens.streaming import lifecycle, observations
 
 DAY, FIRST = timedelta(days=1), datetime(2024, 3, 4)
@@ -96,3 +99,106 @@ def test_bitmaps_of_runs(spark):
     got = {r["g"]: r["n"] for r in bitmaps.counts_of(whole, ["g"], "n").collect()}
     assert got == {g: len({j for x, j in rows if x == g and j is not None}) for g in "ab"}
     assert len(after) == len({j for _, j in rows if j is not None})
+
+
+def files_of(spark, table):
+    return {f: p for f in table.stored().inputFiles() for p in [f.split("_part=")[1].split("/")[0]]}
+
+
+def test_merge_rewrites_only_what_changes(spark):
+    """One key in a hundred: other parts keep their files, the stored side isn't shuffled, a repeated merge writes nothing."""
+    table = MergedTable(spark, "merged_test", ["k"], parts=32, buckets=4)
+    rows = [(k, f"v{k}", None if k % 7 == 0 else k * 1.5) for k in range(1000)]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, w double")
+    table.create(frame([*rows, (None, "no key", 0.0)]))
+    before = files_of(spark, table)
+    new = [(k, "new", None) for k in range(0, 1000, 100)] + [(5000, "more", 1.0), (None, "x", 1.0)] + [(7, "v7", None)]
+    plans = []
+
+    def upsert(old, fresh):
+        out = old.alias("o").join(fresh.alias("n"), "k", "full").select("k", F.coalesce("n.v", "o.v").alias("v"), F.when(F.col("n.v").isNotNull(), F.col("n.w")).otherwise(F.col("o.w")).alias("w"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    touched = table.merge(frame(new), upsert)
+    want = {**{k: (v, w) for k, v, w in rows}, **{k: (v, w) for k, v, w in new if k is not None}}
+    assert {r["k"]: (r["v"], r["w"]) for r in table.read().collect()} == want
+    after = files_of(spark, table)
+    assert 0 < len(touched) <= 11 and {f: p for f, p in before.items() if int(p) not in touched} == {f: p for f, p in after.items() if int(p) not in touched}
+    assert "Bucketed: true" in plans[0] and plans[0].count("Exchange hashpartitioning") == 1  # the new rows' side
+    assert table.merge(frame(new), upsert) == [] and table.merge(frame([]), upsert) == [] and files_of(spark, table) == after
+
+
+def test_intervals_follow_the_log(spark):
+    """Active sets at any time equal those of the log up to it, folded at once or run by run; ties, repeats and nulls among the rows."""
+    pick = random.Random(9)
+    log = [(pick.randrange(12), FIRST + DAY * pick.randrange(20), pick.random() < 0.6) for _ in range(150)]
+    log += log[:10] + [(None, FIRST, True), (3, None, True), (3, FIRST, None)]
+    frame = spark.createDataFrame(log, "source_listing_id long, observed_at timestamp, is_active boolean")
+    listings = spark.createDataFrame([(i, i % 5, "s") for i in range(14)], "id long, job_id long, source string")
+    jobs = spark.createDataFrame([(j, FIRST + 8 * DAY if j == 1 else None) for j in range(5)], "id long, closed_at timestamp")
+    t = Tables(jobs, jobs, listings, frame, jobs, jobs)
+    times = [FIRST + DAY * k - DAY / 2 for k in (0, 3, 8, 9, 30)]
+    want = set()
+    for at in times:
+        for i in range(14):
+            seen = [(o, a) for k, o, a in log if k == i and o is not None and a is not None and o <= at]
+            newest = max((o for o, _ in seen), default=None)
+            if (newest is None or any(a for o, a in seen if o == newest)) and not (i % 5 == 1 and FIRST + 8 * DAY <= at):
+                want.add((at, i))
+    whole = intervals.validity(frame)
+    middle = F.lit(FIRST + 9 * DAY)
+    early = intervals.validity(frame.where(F.col("observed_at") < middle))
+    steps = intervals.extended(early, frame.where(F.col("observed_at") >= middle))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, steps.select(*whole.columns).collect()))
+    assert {(r["as_of"], r["id"]) for r in intervals.active_at(t, whole, times).collect()} == want
+    with pytest.raises(ValueError, match="older"):
+        intervals.extended(whole, frame.limit(1).withColumn("observed_at", F.lit(FIRST - DAY)))
+    none = frame.limit(0)
+    assert intervals.validity(none).count() == 0 and intervals.active_at(t, intervals.validity(none), times[:1]).count() == 14
+
+
+def test_percentiles_by_rank(spark):
+    pick = random.Random(2)
+    rows = [(g, pick.choice([None, float(pick.randrange(5)), pick.random() * 100])) for g in ["a"] * 300 + ["b"] * 7 + [None] * 20] + [("one", 4.0), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in ranks.exact_percentiles(frame, ["g"], "x", {"low": 0.0, "p25": 0.25, "median": 0.5, "high": 1.0}).collect()}
+    for g in ("a", "b", None, "one"):
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        for name, share in (("low", 0.0), ("p25", 0.25), ("median", 0.5), ("high", 1.0)):
+            at = (len(own) - 1) * share
+            low, high = own[int(at)], own[min(int(at) + 1, len(own) - 1)]
+            assert abs(got[g][name] - (low + (high - low) * (at - int(at)))) < 1e-9
+        assert got[g]["count"] == len(own)
+    assert "none" not in got
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_chain_to_the_end(spark, descending):
+    pick = random.Random(4)
+    rows = [(i, pick.choice([None, 1.0, 2.0, 2.5]), pick.choice([None, "x", "y"])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "id long, a double, b string").repartition(3)
+    order, last, seen = [("a", descending), ("b", not descending), ("id", False)], None, []
+    for _ in range(8):
+        shown = paging.page(frame, order, 7, last)
+        own = [tuple(r) for r in shown.select("id").collect()]
+        seen += own
+        last = paging.cursor(shown, order)
+        if not own:
+            assert last is None
+            break
+    whole = frame.orderBy(F.col("a").desc() if descending else F.col("a").asc(), F.col("b").asc() if descending else F.col("b").desc(), "id").select("id").collect()
+    assert seen == [tuple(r) for r in whole]
+
+
+def test_search_by_postings(spark):
+    """Any needle finds what a scan finds, short ones and rare runs too, and few texts are read for it."""
+    words = "data engineer lead of the platform naïve größe a1 x".split()
+    pick = random.Random(6)
+    rows = [(i, pick.choice(["Data  Engineer", "Lead", None, ""]), pick.choice(["Alpha", "Big X", None]), " ".join(pick.choice(words) for _ in range(8)) + f" no {i}", pick.choice("ab"), "r") for i in range(60)]
+    view = spark.createDataFrame(rows, "id long, title string, company string, description_text string, source string, role_family string")
+    index = search.build(view)
+    for needle in ["data engineer", "DATA   eng", "x", "ï", "no 3", "no 33", "zzz", "a1 x", "g x", " ", None, "größe lead", "e"]:
+        want = {r["id"] for r in search_listings(view, "a" if needle == "x" else None, None, needle).collect()}
+        assert {r["id"] for r in index.search(view, "a" if needle == "x" else None, None, needle).collect()} == want, needle
+    assert index.candidates("no 33").count() == 1 < index.texts.count()
