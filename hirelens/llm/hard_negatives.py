@@ -12,8 +12,8 @@ label with low * positive <= 100 * score <= high * positive. Anchors and rows me
 cells, every anchor with every row, and each cell hands on at most `positives` or `negatives` rows per ask.
 
 Cases: rows with a null id, label or vector, or a null or non-finite component, take no part; vectors of
-other lengths do not meet; rows that repeat an id are rows of their own, but an anchor's own id is never
-its positive, and of anchors that repeat an id the one with the least (label, vector bytes) stands; ties
+other lengths do not meet; rows that repeat an id are rows of their own, but a row with an anchor's own id is
+neither its positive nor its negative, and of anchors that repeat an id the one with the least (label, vector bytes) stands; ties
 go to the smaller id; a positive score of zero or less leaves no negatives, but for zero itself; an empty table gives no rows.
 """
 
@@ -148,9 +148,10 @@ def _negatives(wanted: int, low: int, high: int):
             c = Cell(asks, blocks, int(key[0]))
             other = {v: np.flatnonzero(c.labels != v) for v in asks.label.unique()}
             for k, (own, label, scores) in enumerate(zip(asks.anchor_id, asks.label, asks.scores, strict=True)):
+                rows = other[label]
                 asked = {int(score): _band(int(score), low, high) for score in scores}
                 asked = {score: band for score, band in asked.items() if band[0] <= band[1]}
-                for score, (ids, found) in zip(asked, c.best(k, other[label], wanted, list(asked.values())) if asked else [], strict=True):
+                for score, (ids, found) in zip(asked, c.best(k, rows[c.ids[rows] != own], wanted, list(asked.values())) if asked else [], strict=True):
                     out.append({"anchor_id": np.full(len(ids), own), "positive_score": np.full(len(ids), score), "negative_id": ids, "negative_score": found})
         return _table(out, ["anchor_id", "positive_score", "negative_id", "negative_score"])
 
