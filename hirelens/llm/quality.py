@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from hirelens.llm.common import BLANKS, stored
 
 COMMON, WINDOW = 32, 8
-#: References of up to so many languages are broadcast; more are joined by a shuffle.
+#: References of up to so many languages are broadcast at once; common words of more are joined by a shuffle.
 LANGUAGES = 512
 LEAST_WORDS, MOST_DISTANCE = 50, 0.34
 SYMBOLS = "#*$%&|<>"
@@ -90,47 +90,58 @@ def spread_words(docs: DataFrame) -> DataFrame:
     return rows.where("word <> ''")
 
 
-def references(docs: DataFrame, rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(lang, word, q) of the most common words with a marker row a language; (lang, shares); how to join what has some rows a language."""
+def references(docs: DataFrame, rows: DataFrame, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """Stored: (lang, word, q, mass) of the most common words; (lang, shares, base): base is the word part of a text without any of them."""
     known = rows.where(F.col("lang").isNotNull())
     counts = spread_words(docs).where(F.col("lang").isNotNull()).groupBy("lang", "word").agg(F.count("*").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= common)
     sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(len(CLASSES))]
     total = stored(known.groupBy("lang").agg(F.sum("n_words").alias("all"), *sums))
-    small = F.broadcast if total.limit(LANGUAGES + 1).count() <= LANGUAGES else lambda df: df
-    shares = total.select("lang", _shares(F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))])).alias("shares"))
-    words = best.join(small(total), "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("q"))
-    return stored(words.unionByName(total.select("lang", F.lit("").alias("word"), F.lit(0.0).alias("q")))), shares, small
+    mass = F.sum("q").over(Window.partitionBy("lang"))  # `common` rows a language
+    words = stored(best.join(total, "lang").select("lang", "word", (F.col("n") / F.col("all")).alias("q")).withColumn("mass", mass))
+    own = words.groupBy(F.col("lang").alias("l")).agg(F.first("mass").alias("m"))
+    base = _word_part(F.lit(1.0), F.coalesce("m", F.lit(0.0)))
+    shares = _shares(F.array(*[F.col(f"c{k}") for k in range(len(CLASSES))]))
+    return words, stored(total.join(own, F.col("lang") == F.col("l"), "left").select("lang", shares.alias("shares"), base.alias("base")))
+
+
+def _word_part(rest_p: Column, mass: Column) -> Column:
+    """The divergence of the words, but for the bins of common words that a text has: each adds to it what it is beyond q / 2."""
+    return mass / 2 + _divergence(rest_p, F.greatest(1 - mass, F.lit(0.0)))
+
+
+def nearest(rows: DataFrame, languages: DataFrame, matched: str) -> DataFrame:
+    """rows with least (distance, lang). matched: the column that maps a language to a text's word part, where it has common words of it.
+
+    Languages come as blocks of about LANGUAGES, one row of bounded size each, and every text sees each block where it lies.
+    """
+    blocks = -(-languages.count() // LANGUAGES)
+    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+    own, leasts = _shares(F.col("classes")), []
+    class_part = lambda e: let(own, lambda s: sum((_divergence(F.get(s, F.lit(k)), F.get(e["shares"], F.lit(k))) for k in range(1, len(CLASSES))), _divergence(F.get(s, F.lit(0)), F.get(e["shares"], F.lit(0)))))
+    word_part = lambda e: F.coalesce(F.try_element_at(F.col(matched), e["lang"]), e["base"])
+    for k in range(blocks):
+        block = languages.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("lang", "shares", "base")).alias(f"block{k}"))
+        rows = rows.crossJoin(F.broadcast(block))  # one row
+        leasts.append(F.array_min(F.transform(f"block{k}", lambda e: F.struct(((root(word_part(e)) + root(class_part(e))) / 2).alias("distance"), e["lang"].alias("lang")))))
+    none = F.lit(None).cast("struct<distance:double,lang:string>")
+    return rows.withColumn("least", F.array_min(F.array(*leasts)) if leasts else none).drop(*[f"block{k}" for k in range(blocks)])
 
 
 def judge(docs: DataFrame, common: int = COMMON, least_words: int = LEAST_WORDS, most: float = MOST_DISTANCE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, nearest, distance."""
     rows = stored(base_rules(docs))
-    words, shares, small = references(docs, rows, common)
-    words = small(words)  # common + 1 rows a language
-    # counts of common words by document; the empty word, once a row, counts the row's copies
-    spread = spread_words(docs).select("doc_id", "text_key", "word").join(words.select("word").distinct(), "word", "left_semi")
+    words, languages = references(docs, rows, common)
+    small = F.broadcast if languages.limit(LANGUAGES + 1).count() <= LANGUAGES else lambda df: df  # `common` rows a language
+    spread = spread_words(docs).select("doc_id", "text_key", "word").join(small(words.select("word").distinct()), "word", "left_semi")
     counts = spread.groupBy("doc_id", "text_key", "word").agg(F.count("*").alias("n"))
-    copies = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("n_words").alias("of"))
-    sizes = copies.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "of")
-    counts = counts.unionByName(copies.select("doc_id", "text_key", F.lit("").alias("word"), "n"))
-    found = counts.join(sizes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).drop("d", "t")
-    by_lang = found.join(words, "word").groupBy("doc_id", "text_key", "lang", "of").agg(
-        F.max(F.when(F.col("word") == "", F.col("n"))).alias("copies"),
-        F.collect_list(F.when(F.col("word") != "", F.struct("n", "q"))).alias("bins"),
-    )
-    mass = words.groupBy("lang").agg(F.sum("q").alias("mass"))
-    p = lambda b: b["n"] / F.greatest(F.col("copies") * F.col("of"), F.lit(1))
-    add = lambda f: F.aggregate("bins", F.lit(0.0), lambda a, b: a + f(b))
-    rest_p, rest_q = F.greatest(1 - add(p), F.lit(0.0)), F.greatest(1 - F.col("mass"), F.lit(0.0))
-    word_part = add(lambda b: _divergence(p(b), b["q"]) - b["q"] / 2) + F.col("mass") / 2
-    nearby = by_lang.join(small(mass), "lang").join(small(shares), "lang").select("doc_id", "text_key", "lang", "shares", (word_part + _divergence(rest_p, rest_q)).alias("word_part"))
-    found = nearby.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.collect_list(F.struct("lang", "shares", "word_part")).alias("near"))
-    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    own = _shares(F.col("classes"))
-    class_part = lambda e: let(own, lambda s: sum((_divergence(F.get(s, F.lit(k)), F.get(e["shares"], F.lit(k))) for k in range(1, len(CLASSES))), _divergence(F.get(s, F.lit(0)), F.get(e["shares"], F.lit(0)))))
-    least = F.array_min(F.transform("near", lambda e: F.struct(((root(e["word_part"]) + root(class_part(e))) / 2).alias("distance"), e["lang"].alias("lang"))))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").withColumn("least", least)
+    copies = rows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg((F.count("*") * F.max("n_words")).alias("of"))
+    found = counts.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).drop("d", "t")
+    p = F.col("n") / F.greatest("of", F.lit(1))
+    bins = found.join(small(words), "word").groupBy("doc_id", "text_key", "lang").agg(F.first("mass").alias("mass"), F.sum(p).alias("p"), F.sum(_divergence(p, F.col("q")) - F.col("q") / 2).alias("own"))
+    part = F.col("own") + _word_part(F.greatest(1 - F.col("p"), F.lit(0.0)), F.col("mass"))
+    matched = bins.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("t")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("lang"), part.alias("part")))).alias("matched"))
+    joined = nearest(rows.join(matched, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left"), languages, "matched")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     fits = (F.col("n_words") < least_words) | F.coalesce(F.col("least.distance") <= most, F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fits).alias("kept"), F.col("least.lang").alias("nearest"), F.round("least.distance", 6).alias("distance"))

@@ -180,7 +180,7 @@ def test_line_dedup(spark, rows, none, crowd):
     assert line_dedup.removed_lines(none).count() == 0
 
 
-def test_quality(spark, docs, rows, none):
+def test_quality(spark, docs, rows, none, monkeypatch):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert len(got) == len(rows) + 1
     for i, t in rows:
@@ -194,6 +194,10 @@ def test_quality(spark, docs, rows, none):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(inside))
         assert r["base_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
+    monkeypatch.setattr(quality, "LANGUAGES", 1)  # a block for each language, common words joined by a shuffle
+    assert {r["doc_id"]: r for r in quality.judge(docs).collect()} == got
+    long = {r["doc_id"]: r for r in quality.judge(documents(spark, [(1, "x" * 200_000), (2, "y " * 60 + "z" * 100_000)])).collect()}
+    assert (long[1]["n_words"], long[1]["word_chars"], long[1]["kept"]) == (1, 200_000, False) and long[2]["n_words"] == 61
     assert quality.judge(none).count() == 0
     twice = quality.judge(docs.unionByName(docs)).groupBy("doc_id").agg(F.count_distinct("distance").alias("n"), F.max("distance").alias("d"))
     assert all(r["n"] <= 1 and r["d"] == got[r["doc_id"]]["distance"] for r in twice.collect() if r["doc_id"] in range(60))
