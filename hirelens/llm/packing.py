@@ -4,10 +4,11 @@ Every source is a queue of its documents' ids. A window is a fixed number of seq
 is filled with the target token proportions: weights by source, or else each source's share
 of what is queued, so that all queues end together. A queue that runs dry leaves its part of
 the later windows to the others, by their weights, so that no sequence but the last is short.
-What rounding leaves a source short in one window is its deficit, which the next window makes
-good: deficits are carried in closed form. The tokens that a source has given after k windows
-follow from the queue lengths and weights alone (`Mixture.given`), so that any task knows the
-deficits at any window without the windows before.
+Round by round each queue is due its quantum of what is still to fill, and its deficit from the
+windows before; it gives whole tokens, and what is left of its due is its deficit in the next window
+(`Course`). A task fills the windows of its own documents. The deficits that it starts with, after all the
+windows of the tasks before, follow from queue lengths and weights alone (`Mixture.given`), so deficits are carried
+from task to task without one task waiting for another.
 
 Encoding is one pass over the documents, without a shuffle of texts. A task writes its ids
 and its running position in each queue; the queue positions of whole tasks are sums over a
@@ -86,6 +87,53 @@ class Mixture:
         return out
 
 
+class Course:
+    """Windows filled one after another by deficit round-robin, from window `first` on."""
+
+    def __init__(self, mix: Mixture, window: int, first: int):
+        self.mix, self.window, self.first = mix, window, first
+        self.at = min(first * window, mix.total)
+        self.given = [mix.given(np.array([self.at]))[:, 0].tolist()]
+        self._enter(max(int(np.searchsorted(mix.starts, self.at, "right")) - 1, 0))
+
+    def _enter(self, phase: int) -> None:
+        """The deficits at this moment of a phase: what each queue was due and could not give in whole tokens."""
+        self.phase, self.deficits = phase, []
+        if not self.mix.parts:
+            return
+        rest, left = self.at - self.mix.starts[phase], sum(self.mix.parts[phase])
+        for n in self.mix.parts[phase]:
+            own, deficit = divmod(rest * n, max(left, 1))
+            self.deficits.append(deficit)
+            rest, left = rest - own, left - n
+
+    def _round(self, tokens: int, given: list[int]) -> None:
+        """Fills so many tokens: each queue's quantum is its part of what is still to fill, its deficit is added and what is left over is kept."""
+        parts = self.mix.parts[self.phase]
+        rest, left = tokens, sum(parts)
+        for q, n in enumerate(parts):
+            own, self.deficits[q] = divmod(self.deficits[q] + rest * n, max(left, 1))
+            given[q] += own
+            rest, left = rest - own, left - n
+
+    def _fill(self) -> None:
+        given, end = list(self.given[-1]), min(self.at + self.window, self.mix.total)
+        while self.at < end:
+            turn = self.mix.starts[self.phase + 1] if self.phase + 1 < len(self.mix.starts) else self.mix.total
+            stop = min(end, turn)
+            self._round(stop - self.at, given)
+            self.at = stop
+            if stop == turn and self.phase + 1 < len(self.mix.starts):
+                self._enter(self.phase + 1)
+        self.given.append(given)
+
+    def before(self, windows: np.ndarray) -> np.ndarray:
+        """[queue, i]: tokens that each queue has given before window i of these, none of them before the first."""
+        while len(self.given) <= int(windows.max(initial=self.first)) - self.first:
+            self._fill()
+        return np.array(self.given, np.int64)[windows - self.first].T
+
+
 def window_of(queue: int, position: np.ndarray, mix: Mixture, window: int) -> np.ndarray:
     """The window that takes the token at each position of a queue: the last with given(start) <= position."""
     total = mix.total
@@ -97,14 +145,18 @@ def window_of(queue: int, position: np.ndarray, mix: Mixture, window: int) -> np
     return low
 
 
-def pieces(queue: int, start: np.ndarray, n: np.ndarray, mix: Mixture, sequence: int, window: int) -> tuple[np.ndarray, ...]:
-    """(document row, first id in it, ids, sequence, offset) of the pieces of documents that lie at `start` in a queue."""
-    total = mix.total
+def pieces(queue: int, start: np.ndarray, n: np.ndarray, mix: Mixture, sequence: int, window: int, courses: list[Course]) -> tuple[np.ndarray, ...]:
+    """(document row, first id in it, ids, sequence, offset) of the pieces of documents that lie at `start` in a queue.
+
+    courses: the windows that the task has filled so far, which the call goes on with.
+    """
     first, last = window_of(queue, start, mix, window), window_of(queue, start + n - 1, mix, window)
     count = last - first + 1
     row = np.repeat(np.arange(len(start)), count)
     k = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    before, after = mix.given(np.minimum(k * window, total)), mix.given(np.minimum((k + 1) * window, total))
+    if not courses or courses[0].first > k.min(initial=courses[0].first):
+        courses[:] = [Course(mix, window, int(k.min(initial=first.min(initial=0))))]
+    before, after = courses[0].before(k), courses[0].before(k + 1)
     low, high = np.maximum(before[queue], start[row]), np.minimum(after[queue], (start + n)[row])
     slot = k * window + (after - before)[:queue].sum(axis=0) + low - before[queue]
     keep = high > low
@@ -137,11 +189,12 @@ def encode_documents(docs: DataFrame, end_id: int, path: str) -> DataFrame:
     return stored(narrow.mapInArrow(encode, "part int, source string, before long, doc_id long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None, target: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None, target: dict[str | None, float] | None = None, temperature: float = 1.0) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of every piece.
 
     target: the share of each source in a window, as positive weights; sources that it doesn't name
-    share the weight under "*" (1 if there is none) by their tokens. Without it, the corpus's own shares.
+    share the weight under "*" (1 if there is none) by their tokens. Without it, each queue's weight is its tokens to the power
+    of temperature: 1 keeps the corpus's own shares, less gives small sources more of the first windows.
     """
     encoded = encode_documents(docs, end_id, path or vocabulary())
     sums = stored(encoded.groupBy("part", "source").agg(F.sum("n").alias("n")))
@@ -164,16 +217,19 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WIND
         told = [target[own[k]] if k < len(own) and own[k] in named else None for k in range(len(lengths))]
         rest = sum(n for n, w in zip(lengths, told, strict=True) if w is None)
         weights = [w if w is not None else target.get("*", 1.0) * n / max(rest, 1) for n, w in zip(lengths, told, strict=True)]
+    elif temperature != 1.0:
+        weights = [float(n) ** temperature if n else 0.0 for n in lengths]
     mix = Mixture(lengths, weights)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        courses: list[Course] = []
         for batch in batches:
             queues = np.array(batch["queue"])
             start, n = np.array(batch["start"]), np.array(batch["n"])
             ids, docs_, names = batch["ids"], batch["doc_id"], batch["source"]
             for q in np.unique(queues).tolist():
                 own = np.flatnonzero(queues == q)
-                row, first, length, s, offset = pieces(q, start[own], n[own], mix, sequence, sequence * window_sequences)
+                row, first, length, s, offset = pieces(q, start[own], n[own], mix, sequence, sequence * window_sequences, courses)
                 row = own[row]
                 views = {r: memoryview(ids[r].as_buffer()) for r in own.tolist()}
                 crc = [zlib.crc32(views[r][4 * a : 4 * (a + k)]) for r, a, k in zip(row.tolist(), first.tolist(), length.tolist(), strict=True)]

@@ -19,7 +19,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    """Windows hold sources by the power 0.7 of their tokens, as long as these last."""
+    return packing.pack(_read(spark, sf_dir, "documents"), temperature=0.7)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

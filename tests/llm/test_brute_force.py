@@ -259,6 +259,36 @@ def test_target_mixture(spark, tmp_path):
         assert (s.offset.to_numpy() == np.r_[0, np.cumsum(s.length)[:-1]]).all()
 
 
+def test_deficits_are_carried():
+    """Windows filled round by round, from the first or from any later one, give what the closed form says, through queues that run dry; each queue stays within a token or so of its due."""
+    from hirelens.llm.packing import Course, Mixture
+
+    pick = random.Random(7)
+    for weights in (None, [3.0, 1.0, 1.0, 0.5, 0.0], [1.0, 1.0, 5.0, 5.0, 0.0]):
+        lengths = [*[pick.randrange(1, 900) for _ in range(4)], 0]
+        mix = Mixture(lengths, weights)
+        k = np.arange(-(-mix.total // 37) + 2)
+        closed = mix.given(np.minimum(k * 37, mix.total))
+        for first in (0, 3, 11):
+            assert (Course(mix, 37, first).before(k[first:]) == closed[:, first:]).all()
+        course = Course(mix, 37, 0)
+        course.before(k[:2])
+        assert any(course.deficits) and closed[:, -1].tolist() == lengths
+        if weights is None:
+            assert (abs(closed - np.minimum(k * 37, mix.total) * (np.array(lengths) / mix.total)[:, None]) < len(lengths)).all()
+
+
+def test_temperature(spark):
+    """Sources share the first windows by the power of their tokens."""
+    from hirelens.llm import packing
+
+    rows = [(k, "some words " * 8, "large" if k % 10 else "small") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(frame, sequence=64, window_sequences=4, temperature=0.5).toPandas()
+    first = out[out.sequence_id < 16].groupby("source").length.sum()
+    assert abs(first["large"] / first["small"] - 3) < 0.05 and out.groupby("doc_id").length.sum().eq(out.groupby("doc_id").doc_tokens.first()).all()
+
+
 def test_many_languages(spark):
     """Blocks of languages give what one matrix gives."""
     pick = random.Random(2)
