@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hirelens.functions import text
-from hirelens.operators import active, bitmaps, ingest, intervals, matching, paging, ranks, salary, search
+from hirelens.operators import active, bitmaps, duplicate_classes, ingest, intervals, matching, paging, ranks, salary, search
 from hirelens.plans import adapters as A
 from hirelens.plans import more_queries  # noqa: F401  its SQL is used again
-from hirelens.plans.queries import _WEEKS, AS_OF, ORACLE_SQL, WEEKS, _batch, _facts, day, query
+from hirelens.plans.queries import _PAIRS, _WEEKS, AS_OF, ORACLE_SQL, WEEKS, _batch, _facts, day, query
 from hirelens.sources.merge import MergedTable
 from hirelens.sources.shared import kept, shared_dir
 from hirelens.streaming import lifecycle, observations
@@ -228,3 +228,27 @@ def a3_search_by_postings(spark, d):
     index = search.build(view)
     rows = lambda n, *how: index.search(view, *how).select("id", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), "role_family", F.lit(n).alias("hit"))
     return rows(1, "lever", None, " NUMBER  2 of ").unionByName(rows(2, None, None, "Data Engineer"))
+
+
+# duplicates by profiles
+
+
+@query(ORACLE_SQL["x1_candidate_pairs"], model=False)
+def x1_pairs_of_profiles(spark, d):
+    """All candidate pairs, listed from the links between profiles."""
+    t = A.tables(spark, d)
+    members = duplicate_classes.profiles(t.jobs, t.listings)
+    return duplicate_classes.expanded(members, duplicate_classes.profile_links(t.jobs, t.listings, members)).select("job_id", "candidate_job_id", "match_type", "score")
+
+
+@query(_PAIRS + """, found as (select x, y from cand where hs union all select x, y from ev where score is not null), both_ways as (select x, y from found union all select y, x from found),
+ walk as (select x, x as y from both_ways union select w.x, b.y from walk w join both_ways b on b.x = w.y)
+ select x as job_id, min(y) as class_id, (select count(*) from both_ways b where b.x = walk.x) as links from walk group by 1""")
+def x1_duplicate_classes(spark, d):
+    """Class and number of partners of every job that has one."""
+    t = A.tables(spark, d)
+    members = duplicate_classes.profiles(t.jobs, t.listings)
+    return duplicate_classes.duplicate_classes(members, duplicate_classes.profile_links(t.jobs, t.listings, members))
+
+
+ORACLE_SQL["x1_duplicate_classes"] = ORACLE_SQL["x1_duplicate_classes"].replace("with titles", "with recursive titles", 1)

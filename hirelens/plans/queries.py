@@ -497,9 +497,9 @@ def f14_sections(spark, d):
     return rows.select("id", F.col("s")["responsibilities"].alias("responsibilities"), F.col("s")["required_competencies_and_certifications"].alias("required"))
 
 
-@query("select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) normalized, sha256(text) content_hash from documents where text <> ''", model=False)
+@query("select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) normalized, case when text <> '' then sha256(text) end content_hash from documents", model=False)
 def f7_normalize_text(spark, d):
-    rows = A.read(spark, d, "documents").where("text <> ''")
+    rows = A.read(spark, d, "documents")
     return rows.select("doc_id", text.normalize_text("text").alias("normalized"), text.content_hash("text").alias("content_hash"))
 
 
@@ -645,6 +645,20 @@ def x9_apply_decisions(spark, d):
     return moved.select("job_id", "merged_into").distinct()
 
 
+@query(_PAIRS + f""", found as ({_FOUND}), told as (select x, y, (x + y) % 4 as k from found)
+ select x job_id, y candidate_job_id, ['merged', 'dismissed', 'kept_separate', 'pending'][k + 1] as status, case when k < 3 then ['merge', 'dismiss', 'keep_separate'][k + 1] end as action, case when k < 3 then 'pending' end previous_status from told""")
+def x9_decisions_of_all_kinds(spark, d):
+    """Every pair decided in one of four ways, the fourth with a wrong expected status, which is skipped; with the audit row."""
+    t = A.tables(spark, d)
+    candidates = dedupe.upsert_candidates(spark.createDataFrame([], "job_id long, candidate_job_id long, match_type string, score double, reason string, status string, created_at timestamp"), dedupe.candidate_pairs(t.jobs, t.listings), AS_OF)
+    k = (F.col("job_id") + F.col("candidate_job_id")) % 4
+    action = F.get(F.array(*[F.lit(x) for x in ("merge", "dismiss", "keep_separate", "dismiss")]), k.cast("int"))
+    decisions = candidates.select("job_id", "candidate_job_id", action.alias("action"), F.lit("me").alias("actor"), F.lit("seen").alias("reason"), F.when(k == 3, "merged").otherwise("pending").alias("expected_status"))
+    out = dedupe.apply_decisions(t.jobs, t.listings, t.job_skills.withColumns({"extraction_method": F.lit("alias:literal"), "confidence": F.lit(1.0), "matched_text": F.lit(None).cast("string")}), candidates, decisions, AS_OF)
+    audit = out["audit"].where((F.col("actor") == "me") & (F.col("reason") == "seen")).select("job_id", "candidate_job_id", "action", "previous_status")
+    return out["candidates"].join(audit, ["job_id", "candidate_job_id"], "left").select("job_id", "candidate_job_id", "status", "action", "previous_status")
+
+
 ORACLE_SQL["x9_apply_decisions"] = ORACLE_SQL["x9_apply_decisions"].replace("with titles", "with recursive titles", 1)
 
 
@@ -670,9 +684,9 @@ def o4_default_trend_skill(spark, d):
     return overview.default_trend_skill(A.tables(spark, d), AS_OF, None, "robotics")
 
 
-@query("select fid segment, count(*) as rows, any_value(confidence) confidence from (select *, case when rf is not null then 1.0 when fid = 'other' then 0.0 else 0.95 end confidence from jobs) where rf is null group by 1")
+@query("select tfid segment, count(*) as rows, max(cast(case when tfid = 'other' then 0.0 else 0.95 end as double)) confidence from jobs join titles on i = id % 20 group by 1")
 def f19_classify_title(spark, d):
-    rows = A.jobs(spark, d).where("role_family_id is null").select(roles.classify_title("title").alias("f"))
+    rows = A.jobs(spark, d).select(roles.classify_title("title").alias("f"))
     return rows.groupBy(F.col("f.id").alias("segment")).agg(F.count("*").alias("rows"), F.max("f.confidence").alias("confidence"))
 
 

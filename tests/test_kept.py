@@ -1,16 +1,18 @@
 """Results that are kept up to date run by run: keyed state, streams, bitmaps."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from hirelens.operators import bitmaps, intervals, paging, ranks, search
+from hirelens.operators import bitmaps, dedupe, duplicate_classes, intervals, paging, ranks, search
 from hirelens.operators.active import search_listings
 from hirelens.schemas import Tables
 from hirelens.sources.merge import MergedTable
 from hirelens.streaming import lifecycle, observations
+from test_operators import listing, model
 
 DAY, FIRST = timedelta(days=1), datetime(2024, 3, 4)
 
@@ -202,3 +204,36 @@ def test_search_by_postings(spark):
         want = {r["id"] for r in search_listings(view, "a" if needle == "x" else None, None, needle).collect()}
         assert {r["id"] for r in index.search(view, "a" if needle == "x" else None, None, needle).collect()} == want, needle
     assert index.candidates("no 33").count() == 1 < index.texts.count()
+
+
+def test_boilerplate_pairs_as_profiles(spark, monkeypatch):
+    """Many jobs of one text and few profiles: links, classes and the listed pairs are those of all pairs; rows grow with profiles."""
+    monkeypatch.setattr(duplicate_classes, "BLOCK", 4)
+    body = "Responsibilities: keep the whole platform running well. Requirements: ten years of work with large tables."
+    jobs, rows = [], []
+    for k in range(1, 61):
+        jobs.append({"id": k, "title": "Data Engineer", "company_id": 1 + (k > 55), "canonical_url": None if k == 3 else f"u{k}", "location": "Here" if k % 10 == 0 else None, "content_hash": "h" if k in (7, 8) else None, "closed_at": FIRST if k == 5 else None})
+        rows.append(listing(k, k, ("lever", "adzuna", "jobstreet")[k % 3], description_text=body if k % 7 else None, salary_min=1.0 * (k % 2 + 1), salary_max=2.0))
+    rows.append(listing(100, 4, "greenhouse", description_text=body))
+    t = model(spark, jobs, rows)
+    pairs = sorted(map(tuple, dedupe.candidate_pairs(t.jobs, t.listings).collect()))
+    members = duplicate_classes.profiles(t.jobs, t.listings)
+    links = duplicate_classes.profile_links(t.jobs, t.listings, members)
+    assert sorted(map(tuple, duplicate_classes.expanded(members, links).select("job_id", "candidate_job_id", "match_type", "score", "reason").collect())) == pairs
+    assert len(pairs) > 500 > 5 * links.count()
+    root, count = {}, Counter()
+    for a, b, *_ in pairs:
+        count[a] += 1
+        count[b] += 1
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in root:
+        for a, b, *_ in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["job_id"]: (r["class_id"], r["links"]) for r in duplicate_classes.duplicate_classes(members, links).collect()}
+    assert got == {j: (root[j], count[j]) for j in root}
+
+
+def test_classes_of_a_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
+    got = {r["id"]: r["class_id"] for r in duplicate_classes.components(links, "a", "b").collect()}
+    assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
