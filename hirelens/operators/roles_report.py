@@ -13,6 +13,7 @@ from hirelens.functions.text import filled
 from hirelens.operators.active import UNKNOWN, active_jobs, family_company, job_facts
 from hirelens.operators.skills import skill_names
 from hirelens.schemas import Tables
+from hirelens.sources.shared import kept
 
 
 def top_k(rows: DataFrame, key: list[str], name: str, k: int, alias: str) -> DataFrame:
@@ -27,12 +28,17 @@ def _joined(frames: list[DataFrame], key: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "left"), frames)
 
 
-def role_family_summaries(t: Tables, listings: DataFrame, as_of: datetime, days: int | None = None, family_id: str | None = None, limit: int | None = 10) -> DataFrame:
-    """Per family over active jobs and active listings."""
+def _kept(t: Tables, listings: DataFrame, as_of: datetime, days: int | None, family_id: str | None) -> tuple[DataFrame, DataFrame]:
+    """The columns of active jobs and of listings that reports group by, stored: several groupings read them."""
     jobs = job_facts(t.with_(jobs=active_jobs(t.jobs, as_of, days)))
-    if family_id is not None:
-        jobs = jobs.where(F.col("family_id") == family_id)
-    rows = listings.join(jobs.select("job_id", "family_id", "company_name"), "job_id")
+    jobs = jobs if family_id is None else jobs.where(F.col("family_id") == family_id)
+    return kept(jobs.select("job_id", "company_name", "family_id", "family_label", "title", "job_last_seen_at")), kept(listings.select("id", "job_id", "source", "source_company_name", "salary_min", "salary_max", "salary_interval", "last_seen_at"))
+
+
+def role_family_summaries(t: Tables, listings: DataFrame, as_of: datetime, days: int | None = None, family_id: str | None = None, limit: int | None = 10) -> DataFrame:
+    """Per family over active jobs and active listings. Jobs with their families, and listings, are each worked out once and kept as narrow frames."""
+    jobs, listings = _kept(t, listings, as_of, days, family_id)
+    rows = listings.join(jobs.select("job_id", "family_id"), "job_id")
     key = ["family_id"]
     named = jobs.join(family_company(t, listings), "job_id", "left").withColumn("who", F.coalesce(filled("company_name"), "listing_company"))
     by_job = named.groupBy(*key).agg(F.first("family_label").alias("family_label"), F.count("*").alias("job_count"), F.count_distinct("who").alias("company_count"))
@@ -62,9 +68,7 @@ def role_family_catalog(t: Tables, summaries: DataFrame, include_other: bool = T
 
 def top_hiring_companies(t: Tables, listings: DataFrame, as_of: datetime, days: int | None = None, family_id: str | None = None, limit: int | None = 10) -> DataFrame:
     """Per company over active jobs: jobs, active listings, latest time seen, top families and sources."""
-    jobs = job_facts(t.with_(jobs=active_jobs(t.jobs, as_of, days)))
-    if family_id is not None:
-        jobs = jobs.where(F.col("family_id") == family_id)
+    jobs, listings = _kept(t, listings, as_of, days, family_id)
     named = jobs.join(family_company(t, listings), "job_id", "left").withColumn("company", F.coalesce(filled("company_name"), "listing_company", F.lit(UNKNOWN)))
     rows = listings.select("job_id", "source", "last_seen_at").join(named.select("job_id", "company"), "job_id")
     key = ["company"]

@@ -94,3 +94,22 @@ def test_write_table_replaces_partitions(spark, tmp_path):
     sinks.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "x int, w string"), path, "w")
     sinks.write_table(spark.createDataFrame([(3, "b")], "x int, w string"), path, "w")
     assert sorted(spark.read.parquet(path).select(F.col("x")).toPandas()["x"]) == [1, 3]
+
+
+def test_payload_is_parsed_once(spark, monkeypatch):
+    """Fields read from one parse equal those read path by path, on awkward payloads of all sources; the plan has one parse."""
+    odd = [
+        '{"id": 5, "text": "T", "title": "Engineer", "uuid": "u", "salary": {"min": 0, "max": "12.50", "minimum": 3000, "type": {"salaryType": "Monthly"}}, "createdAt": 1700000000000, "updatedAt": "2024-01-02T03:04:05Z"}',
+        '{"id": "a", "id": "b", "title": "Twice"}', "not json", "{}", "[]", '{"id": 7.25, "location": {"name": " Here "}, "lists": [{"text": "H", "content": "<b>x</b>"}], "pay_input_ranges": [{"min_value": 1000, "max_value": 2000.5, "unit": "year"}]}',
+        '{"id": null, "title": "", "company": {"display_name": "C"}, "salary_min": 100.5, "locations": ["A", {"label": "B"}], "workTypes": "full", "bulletPoints": ["p", "q"], "salaryLabel": "$3,000 - $4,500 per month"}',
+        '{"jobId": "j", "jobUrl": "/job/1", "title": "x\\u00e9\\n y", "employmentTypes": [{"employmentType": "Full Time"}], "metadata": {"jobPostId": "m"}, "_links": {"self": {"href": "h"}}, "content": "<p>a &amp; b</p>", "listingDate": "2024-05-05"}', None,
+    ]
+    frame = spark.createDataFrame([(x, "Acme", "acme") for x in odd], "posting string, company_name string, board_token_or_site string")
+    makers = [getattr(normalize, f"normalize_{s}") for s in normalize.SOURCES]
+    once = [make(frame) for make in makers]
+    for df in once:
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("parse_json(") + plan.count("parsejson") == 1
+    got = [sorted(map(str, df.collect())) for df in once]
+    monkeypatch.setattr(normalize, "at", lambda path, of="posting": F.get_json_object(of, f"$.{path}"))
+    assert got == [sorted(map(str, make(frame).collect())) for make in makers]
