@@ -8,6 +8,7 @@ texts that hold an added token's literal, which is that token as the library has
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -43,6 +44,9 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
+        # cutting at spaces is right for this kind of vocabulary only; any other is encoded whole
+        pre = json.loads(self.whole.pre_tokenizer.__getstate__()) if self.whole.pre_tokenizer is not None else {}
+        self.cuts = type(self.model).__name__ == "BPE" and self.whole.normalizer is None and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
         self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
 
@@ -66,7 +70,7 @@ class ChunkEncoder:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
         if not text:
             return b""
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE_BLANK.search(text) or any([x in text for x in self.added]):
+        if not self.cuts or "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or _RARE_BLANK.search(text) or any([x in text for x in self.added]):
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         kept = self.kept

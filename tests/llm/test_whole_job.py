@@ -78,6 +78,15 @@ def test_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
         assert (packed[k]["doc_tokens"], packed[k]["ids_crc32"]) == (len(ids), zlib.crc32(fresh_ids(t, 1).tobytes()))
 
 
+def test_other_vocabularies_are_encoded_whole():
+    """Texts are cut at spaces only for the pre-tokenizer that allows it."""
+    path = vocabulary("word_bpe_49k.json")
+    of = encoder(path)
+    assert encoder(vocabulary()).cuts and not of.cuts
+    for text in ["plain words here", "x  y", "Größe, 12 and", ""]:
+        assert np.frombuffer(of.encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_any_number_of_sources_is_packed(spark, tmp_path):
     """Over 400 sources: the large ones hold the mixture, the others share queues, and all ids are packed once."""
     rows = [(k, f"text {k} " * (k % 7), None if k % 401 == 400 else f"s{k % 401}") for k in range(1300)] + [(2000 + k, "a longer document of a large source " * 40, f"s{k % 2}") for k in range(20)]
