@@ -2,7 +2,7 @@
 
 Payload bytes are stored once by SHA-256; record headers are stored apart, exactly as the
 WARC text has them, with the digest that leads to their payload. Reading joins headers to
-payloads by digest, checks length, SHA-1 and SHA-256 of what comes back, and fails on any
+payloads by digest (both are bucketed by it, so nothing moves), checks length, SHA-1 and SHA-256 of what comes back, and fails on any
 difference. The query rebuilds every record so: its digest and length are of the rebuilt
 payload, its id, type and reference are read from the stored header, and a header that is
 malformed or does not fit its payload fails. Of records with equal payloads of at least `least` bytes the one with the
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelens.llm.common import stored
+from hirelens.sources.shared import shared_dir
 
 LEAST = 1000
 #: Pages have no time of their own; an archive takes this one if none is given.
@@ -38,6 +38,15 @@ class Archive:
     payloads: DataFrame
 
 
+def bucketed(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder, bucketed by address: headers and payloads meet where they lie, so that no payload is shuffled to be read."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    name = f"warc_{path.rsplit('-', 1)[1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "address").sortBy("address").saveAsTable(name)
+    return spark.table(name)
+
+
 def write_archive(pages: DataFrame, least: int = LEAST, date: str = DATE) -> Archive:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -57,11 +66,11 @@ def write_archive(pages: DataFrame, least: int = LEAST, date: str = DATE) -> Arc
         F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("keeper").cast("string"), F.lit(">"), end)).otherwise(F.lit("")),
         F.lit("Content-Length: "), F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"), end, end,
     )
-    headers = stored(typed.select("page_id", "url", header.alias("header"), "address", "payload_digest", "payload_bytes", kind.alias("record_type"), target.alias("refers_to")))
-    # one row of each address carries its bytes: the keeper's, or any if no id is known; the join's partitioning serves the dedup
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63))).alias("key")
-    first = rows.select(F.sha2("payload", 256).alias("address"), key("page_id"), "payload").join(keepers.select("address", key("keeper")), ["address", "key"], "left_semi")
-    payloads = stored(first.dropDuplicates(["address", "key"]).select("address", "payload"))
+    headers = bucketed(typed.select("page_id", "url", header.alias("header"), "address", "payload_digest", "payload_bytes", kind.alias("record_type"), target.alias("refers_to")))
+    # one row of each address carries its bytes: the keeper's, or any if no id is known; the join's partitioning serves the dedup and the buckets
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    first = rows.select(F.sha2("payload", 256).alias("address"), key("page_id").alias("key"), "payload").join(keepers, "address").where(F.col("key") >= key("keeper"))  # the largest; an equality would be a key of the join, which deals rows by address alone
+    payloads = bucketed(first.groupBy("address").agg(F.first("payload").alias("payload")))
     return Archive(headers, payloads)
 
 

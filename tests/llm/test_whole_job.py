@@ -120,3 +120,15 @@ def test_line_dedup_filters_long_lines_and_hashes_texts_once(spark):
     assert line_dedup.lines_of(docs).count() == 2
     plan = line_dedup.lines_of(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("xxhash64" in x for x in plan[: next(i for i, x in enumerate(plan) if "Generate" in x)])
+
+
+def test_warc_reads_without_a_shuffle(spark):
+    """The archive is bucketed by address: reading it moves neither headers nor payloads."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([(k, f"u{k}", "x" * (1000 + k // 2)) for k in range(40)] + [(None, None, None)], "page_id long, url string, html string")
+        read = warc.archived_pages(pages)
+        assert read.count() == 41 and read.where("record_type = 'revisit'").count() == 20
+        assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
