@@ -20,7 +20,7 @@ _RARE_BLANK = re.compile("[\\t\\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2
 #: What is one pre-token each: Latin letters, digits, a run of these marks, a lone line feed.
 _PRE_TOKEN = "[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[.,;:!?()*#%-]+|\\n(?!\\n)"
 _PIECES = re.compile(_PRE_TOKEN)
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,7 +37,7 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,6 +49,7 @@ class ChunkEncoder:
         self.cuts = type(self.model).__name__ == "BPE" and self.whole.normalizer is None and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
         self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
+        self.most = most
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array("I", ids)
@@ -74,19 +75,19 @@ class ChunkEncoder:
             return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
         out = [self._pack(self.whole.encode(first, add_special_tokens=False).ids)]
         for word in rest:
             ids = kept.get(word)
             if ids is None:
+                if len(kept) >= self.most:
+                    kept.clear()
                 ids = kept[word] = self._chunk(word)
             out.append(ids)
         return b"".join(out)
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = KEPT) -> ChunkEncoder:
+    """One encoder for each vocabulary and Python worker, that keeps up to `most` chunks (200 bytes or so each)."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = ChunkEncoder(path, most)
+    return _encoders[path, most]

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelens.llm.chunks import encoder, vocabulary
+from hirelens.llm.chunks import KEPT, encoder, vocabulary
 from hirelens.llm.common import stored
 
 SEQUENCE, WINDOW_SEQUENCES = 2048, 16
@@ -168,12 +168,12 @@ def pieces(queue: int, start: np.ndarray, n: np.ndarray, mix: Mixture, sequence:
     return row[r], low[r] + a - slot[r] - start[row[r]], b - a, s, a - s * sequence
 
 
-def encode_documents(docs: DataFrame, end_id: int, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, end_id: int, path: str, kept: int = KEPT) -> DataFrame:
     """Stored: part, queue, before (in the part's queue), and the documents' columns doc_id, n, ids."""
     end = struct.pack("<I", end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, part = encoder(path).encode, TaskContext.get().partitionId()
+        of, part = encoder(path, kept).encode, TaskContext.get().partitionId()
         at: dict[str | None, int] = defaultdict(int)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
@@ -189,14 +189,15 @@ def encode_documents(docs: DataFrame, end_id: int, path: str) -> DataFrame:
     return stored(narrow.mapInArrow(encode, "part int, source string, before long, doc_id long, n long, ids binary"))
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None, target: dict[str | None, float] | None = None, temperature: float = 1.0) -> DataFrame:
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, end_id: int = 1, path: str | None = None, target: dict[str | None, float] | None = None, temperature: float = 1.0, kept: int = KEPT) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source of every piece.
 
     target: the share of each source in a window, as positive weights; sources that it doesn't name
     share the weight under "*" (1 if there is none) by their tokens. Without it, each queue's weight is its tokens to the power
     of temperature: 1 keeps the corpus's own shares, less gives small sources more of the first windows.
+    kept: chunks that a Python worker keeps encoded; fewer take less memory and more time.
     """
-    encoded = encode_documents(docs, end_id, path or vocabulary())
+    encoded = encode_documents(docs, end_id, path or vocabulary(), kept)
     sums = stored(encoded.groupBy("part", "source").agg(F.sum("n").alias("n")))
     largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES + 1).collect()
     named = set(target or ()) - {"*"}

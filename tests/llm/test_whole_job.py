@@ -132,3 +132,15 @@ def test_warc_reads_without_a_shuffle(spark):
         assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_encoder_keeps_a_bounded_number_of_chunks(spark, monkeypatch):
+    """Few kept chunks change no id, not even a text of many words passes the bound, and the pipeline keeps fewer than packing alone."""
+    from hirelens.llm import chunks
+
+    small, text = chunks.encoder(vocabulary(), 50), " ".join(f"w{k % 333}x" for k in range(2000))
+    assert small.encode(text) == chunks.encoder(vocabulary()).encode(text) and 0 < len(small.kept) <= 50
+    asked = []
+    monkeypatch.setattr(packing, "encode_documents", lambda docs, end_id, path, kept: asked.append(kept) or docs.limit(0).selectExpr("0 part", "source", "0L before", "doc_id", "0L n", "binary(text) ids"))
+    assert corpus_pipeline.pack(spark, spark.createDataFrame([(1, "a", "en", "s", 1)], SCHEMA), "").count() == 0
+    assert asked == [corpus_pipeline.KEPT] and corpus_pipeline.KEPT < chunks.KEPT
