@@ -12,7 +12,7 @@ from hirelens.operators.active import search_listings
 from hirelens.schemas import Tables
 from hirelens.sources.merge import MergedTable
 from hirelens.streaming import lifecycle, observations
-from test_operators import listing, model
+from test_operators import NOW, listing, model, table
 
 DAY, FIRST = timedelta(days=1), datetime(2024, 3, 4)
 
@@ -237,3 +237,28 @@ def test_classes_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (100, 102)], "a long, b long")
     got = {r["id"]: r["class_id"] for r in duplicate_classes.components(links, "a", "b").collect()}
     assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_coded_pairs_are_the_candidate_pairs(spark, monkeypatch):
+    """Profiles without salaries, pairs of equal salaries, shared URLs, places and hashes; the texts of many jobs are read as often as they differ."""
+    monkeypatch.setattr(duplicate_classes, "BLOCK", 4)
+    bodies = [f"Responsibilities: keep the whole platform number {a} running well. Requirements: {b} years of work with large tables.{c}" for a in (1, 2) for b in ("ten", "two") for c in ("", " Preferred qualifications: a taste for long evenings.")] + ["short", "a longer text that has no sections at all", None]
+    jobs, rows = [], []
+    for k in range(1, 91):
+        jobs.append({"id": k, "title": "Data Engineer" if k % 3 else "Clerk", "company_id": 1 + (k > 80), "canonical_url": None if k % 17 == 0 else f"u{k % 40}", "location": "Here" if k % 10 == 0 else None, "content_hash": "h" if k in (7, 8, 16) else None, "closed_at": FIRST if k == 5 else None})
+        for n in range(1 + k % 3):
+            pay = None if (k + n) % 4 == 0 else 1.0 * (k % 5 + 1)
+            rows.append(listing(k * 10 + n, k, ("lever", "adzuna", "jobstreet")[(k + n) % 3], description_text=bodies[(k * 7 + n) % len(bodies)], salary_min=pay, salary_max=2.0 if k % 6 else None, salary_currency=("SGD", "usd", None)[k % 3], workplace_type="At home on most of the days" if k % 4 == 0 else None))
+    t = model(spark, jobs, rows)
+    want = sorted(map(tuple, dedupe.candidate_pairs(t.jobs, t.listings).collect()))
+    assert len(want) > 300 and {r[2] for r in want} > {"content_hash", "structured_fields", "structured_fields_salary"}
+    for most in (100_000, 0):  # salaried pairs broadcast, and joined
+        monkeypatch.setattr(duplicate_classes, "BROADCAST_PAIRS", most)
+        assert sorted(map(tuple, duplicate_classes.decoded(duplicate_classes.coded_pairs(t.jobs, t.listings)).collect())) == want
+    pairs = duplicate_classes.coded_pairs(t.jobs, t.listings)
+    first = duplicate_classes.upsert_coded(table(spark, "duplicate_job_candidates", []), pairs, FIRST)
+    old = first.where("job_id % 2 = 0").withColumns({"score": F.lit(0.9), "status": F.lit("dismissed")}).unionByName(first.limit(1).withColumns({"job_id": F.lit(-1).cast("long")}))
+    order = ["job_id", "candidate_job_id", "match_type", "score", "reason", "status", "created_at"]
+    old = spark.createDataFrame(old.collect(), old.schema)
+    both = [sorted(map(tuple, df.select(*order).collect())) for df in (duplicate_classes.upsert_coded(old, pairs, NOW), dedupe.upsert_candidates(old, duplicate_classes.decoded(pairs), NOW))]
+    assert both[0] == both[1] and len(both[0]) == len(want) + 1
