@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelens.functions.text import normalize_text
-from hirelens.sources.shared import shared_dir
+from hirelens.sources.shared import cleaned, kept, shared_dir
 
 FIELDS, LONGEST, GROUPS = ("title", "company", "description_text"), 3, 16
 #: Of a needle's runs the rarest are looked up.
@@ -73,12 +73,12 @@ def build(view: DataFrame, fields: tuple[str, ...] = FIELDS, folder: str | None
     spark = view.sparkSession
     base = folder or shared_dir(spark)
     each = view.select("id", F.explode(F.array_distinct(F.array(*[normalize_text(F.coalesce(f, F.lit(""))) for f in fields]))).alias("text")).where("text <> ''")
-    keyed = each.select("id", F.sha2("text", 256).alias("text_key"), "text")
-    keyed.select("id", "text_key").write.parquet(f"{base}/places")
-    keyed.select("text_key", "text").dropDuplicates(["text_key"]).write.parquet(f"{base}/texts")
-    texts = spark.read.parquet(f"{base}/texts")
+    hashed = F.unhex(F.sha2("text", 256))
+    places = kept(each.select("id", hashed.alias("text_key")), f"{base}/places")
+    texts = kept(each.select("text").distinct().select(hashed.alias("text_key"), "text"), f"{base}/texts")
     runs = texts.select("text_key", F.explode(runs_of(F.col("text"))).alias("run")).withColumn("group", _group(F.col("run")))
-    runs.repartitionByRange("group", "run", "text_key").sortWithinPartitions("group", "run").write.partitionBy("group").parquet(f"{base}/postings")
-    postings = spark.read.parquet(f"{base}/postings")
-    postings.groupBy("run", "group").agg(F.count("*").alias("n")).write.partitionBy("group").parquet(f"{base}/counts")
-    return TextIndex(texts, spark.read.parquet(f"{base}/places"), postings, spark.read.parquet(f"{base}/counts"))
+    with cleaned(spark):
+        runs.repartitionByRange("group", "run", "text_key").sortWithinPartitions("group", "run").write.partitionBy("group").parquet(f"{base}/postings")
+        postings = spark.read.parquet(f"{base}/postings")
+        postings.groupBy("run", "group").agg(F.count("*").alias("n")).write.partitionBy("group").parquet(f"{base}/counts")
+    return TextIndex(texts, places, postings, spark.read.parquet(f"{base}/counts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.functions import text
@@ -208,10 +208,9 @@ def z1_pages_to_the_end(spark, d):
     order, last, out = [("salary_midpoint", True), ("id", False)], None, []
     size = -(-rows.count() // 5)
     for n in range(5):
-        shown = kept(paging.page(rows, order, size, last))
+        shown = kept(paging.placed(rows, order, size, last))
         last = paging.cursor(shown, order)
-        place = F.row_number().over(Window.orderBy(F.desc("salary_midpoint"), "id"))
-        out.append(shown.withColumn("place", (place + n * size).cast("long")))
+        out.append(shown.withColumn("place", F.col("place") + n * size))
         if last is None:
             break
     whole = out[0]
@@ -224,7 +223,7 @@ def z1_pages_to_the_end(spark, d):
 def a3_search_by_postings(spark, d):
     """The searches of a3 from a stored index of character runs."""
     t = A.tables(spark, d)
-    view = kept(active.listing_view(t, t.listings))
+    view = kept(active.listing_view(t, t.listings).select("id", "source", "role_family", *search.FIELDS))  # what is searched and shown
     index = search.build(view)
     rows = lambda n, *how: index.search(view, *how).select("id", F.coalesce("company", F.lit("UNKNOWN")).alias("company"), "role_family", F.lit(n).alias("hit"))
     return rows(1, "lever", None, " NUMBER  2 of ").unionByName(rows(2, None, None, "Data Engineer"))
